@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 
 def greedy_batches(sizes: Iterable[int], max_items: int, max_chars: int) -> list[int]:
@@ -50,22 +50,25 @@ class SlidingLog:
         return True, 0
 
 
-def progress_reports(samples: Iterable[tuple[float, float]], step: float = 0.01) -> Iterator[tuple[float, float, int]]:
-    """(time, share, seconds left) of the samples that are reported: those a step beyond the last report, and the end. The rate
-    is smoothed, 0.65 old and 0.35 new; without one the average counts."""
-    last, rate, begun, sample = 0.0, 0.0, None, (0.0, 0.0)
-    for now, share in samples:
-        if begun is None:
-            begun, sample = now, (0.0, now)
+class Progress:
+    """Samples (time, share) in order of time: those a step beyond the last report, and the end, are reported with the seconds
+    left. The rate is smoothed, 0.65 old and 0.35 new; without one the average counts."""
+
+    def __init__(self, step: float = 0.01):
+        self.step, self.last, self.rate, self.begun, self.sample = step, 0.0, 0.0, None, (0.0, 0.0)
+
+    def offer(self, now: float, share: float) -> list[tuple[float, float, int]]:
+        if self.begun is None:
+            self.begun, self.sample = now, (0.0, now)
         share = max(0.0, min(1.0, share))
-        if share - last < step and share < 1.0:
-            continue
-        last, left = share, 0
+        if share - self.last < self.step and share < 1.0:
+            return []
+        self.last, left = share, 0
         if 0.0 < share < 1.0:
-            gained, spent = share - sample[0], max(0.0, now - sample[1])
+            gained, spent = share - self.sample[0], max(0.0, now - self.sample[1])
             if gained > 0 and spent >= 0.5:
-                rate = gained / spent if rate <= 0 else rate * 0.65 + gained / spent * 0.35
-                sample = (share, now)
-            speed = rate if rate > 0 else (share / (now - begun) if now > begun else 0.0)
+                self.rate = gained / spent if self.rate <= 0 else self.rate * 0.65 + gained / spent * 0.35
+                self.sample = (share, now)
+            speed = self.rate if self.rate > 0 else (share / (now - self.begun) if now > self.begun else 0.0)
             left = max(0, math.floor((1 - share) / speed)) if speed > 0 else 0
-        yield now, share, left
+        return [(now, share, left)]

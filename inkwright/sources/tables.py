@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The files of a table as a stream; a table may be one file or a folder of them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    single = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    read = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    return read.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if single else read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def local_session(app: str = "inkwright", cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session with the settings that tests and the bench share."""
     b = (
