@@ -28,18 +28,13 @@ def decide(requests: DataFrame, limits: list[tuple[float, int]] = LIMITS) -> Dat
 
 
 def decide_stream(requests: DataFrame, limits: list[tuple[float, int]] = LIMITS) -> DataFrame:
-    """The same over a streaming frame. The log of a key is its state; it expires with the longest window of the clock."""
-    longest = int(max(w for w, _ in limits) * 1000)
+    """The same over a streaming frame. The log of a key is its state: never more entries than its limits allow."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         log = SlidingLog(limits, [list(k) for k in state.get[0]] if state.exists else None)
         rows = pd.concat(list(parts)).sort_values(["t", "event_id"])
         out = [(key[0], r.event_id, *log.offer(r.t)) for r in rows.itertuples(index=False)]
         state.update(([list(k) for k in log.kept],))
-        state.setTimeoutDuration(longest)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed", "wait"])
 
-    return requests.groupBy("user_id").applyInPandasWithState(step, SCHEMA, "kept array<array<double>>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("user_id").applyInPandasWithState(step, SCHEMA, "kept array<array<double>>", "append", GroupStateTimeout.NoTimeout)
