@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,7 +168,7 @@ def split_array(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def _blocks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     block = np.cumsum(size, dtype=np.int64) // BLOCK
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(size)]
     for a, b in zip(cuts, cuts[1:]):
