@@ -5,6 +5,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.sql.window import Window
 
 from inkwright.functions import geometry as X
@@ -96,7 +97,7 @@ def rule_clusters(spark, sf_dir):
     return c.where("rules between 3 and 16 and bottom - top >= 18")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _anchors(lefts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in lefts:
         yield s.map(lambda xs: anchor_clusters(xs, 100.0))

@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from inkwright.functions import text as X
 from inkwright.operators.folds import greedy_batches
@@ -51,7 +52,7 @@ def unit_cache_latest(spark, sf_dir):
     return c.groupBy(F.sha2("zh", 256).alias("key")).agg(F.max(F.struct("file_ord", "field_ord", "term_ord", "term_id", "en"))["en"].alias("translation"))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _batches(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in sizes:
         yield s.map(lambda x: greedy_batches(x, ITEMS, CHARS))
