@@ -68,7 +68,8 @@ def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total:
 
 def fold_case(c: Column) -> Column:
     """Letters alike for any case, with forms such as the micro sign and final sigma joined to their letter."""
-    return F.translate(F.lower(F.upper(c)), "ς", "σ")
+    # lower(upper(c)) alone would be simplified to lower(c)
+    return F.translate(F.lower(F.translate(F.upper(c), "\x00", "")), "ς", "σ")
 
 
 def letters_digits(c: Column) -> Column:
