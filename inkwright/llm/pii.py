@@ -316,7 +316,7 @@ def fit(size: int = TABLE, seed: int = SEED, rounds: int = ROUNDS, step: float =
     return model
 
 
-_AT = re.compile(r"[\w.+\-]+\s*(@|＠|\(at\)|\[at\]|\bat\b)", re.I)
+_AT = re.compile("[\\w.+\\-­​-‏⁠-⁤﻿]+" r"\s*(@|＠|\(at\)|\[at\]|\bat\b)", re.I)
 
 
 def _sound(kind: str, span: str) -> bool:
