@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 CJK = "[一-鿿]"
 CJK_WIDE = "[㐀-鿿]"
+#: White space of any script; \s alone is ASCII.
+ANY_SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
 # Words that mark running English prose.
 STOPWORDS = ["the", "and", "of", "to", "in", "is", "that", "for", "with", "on", "as", "by", "are", "from", "this", "which"]
 

@@ -17,7 +17,10 @@ ORDER = ["file_ord", "field_ord", "term_ord", "term_id"]
 FEW_TERMS = 100_000
 
 # What a candidate term looks like, words that are none, and markers of academic terms.
-CANDIDATE = r"\b(?:[A-Z][A-Za-z]+(?:[- ][A-Z][A-Za-z]+){1,4}|[A-Z]{2,}(?:[- ][A-Za-z0-9]+){0,4}|[A-Za-z]+(?:-[A-Za-z]+){1,4})\b"
+FORMS = r"(?:[A-Z][A-Za-z]+(?:[- ][A-Z][A-Za-z]+){1,4}|[A-Z]{2,}(?:[- ][A-Za-z0-9]+){0,4}|[A-Za-z]+(?:-[A-Za-z]+){1,4})"
+CANDIDATE = rf"\b{FORMS}\b"
+#: The same between any characters that are no letters, digits or underscores; \b knows ASCII ones only.
+CANDIDATE_ANYWHERE = rf"(?<![\p{{L}}\p{{N}}_]){FORMS}(?![\p{{L}}\p{{N}}_])"
 COMMON = "abstract introduction related work experiment experiments conclusion appendix figure table algorithm theorem proof this paper our method".split()
 ACADEMIC = "learning optimization alignment transformer retrieval diffusion reasoning representation preference context multimodal vision language".split()
 # Fields and the keywords that suggest them, in order; the field for no keyword.
@@ -96,8 +99,8 @@ def academic(raw: Column) -> Column:
 
 
 def candidates(texts: DataFrame, id_col: str, text_col: str, known: DataFrame) -> DataFrame:
-    """(term_key, term, n, texts): terms that texts hold and the glossary doesn't; the first spelling stays."""
-    found = texts.select(F.col(id_col), F.posexplode(F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0))).alias("pos", "raw"))
+    """(term_key, term, n, texts): terms that texts in any script hold and the glossary doesn't; the first spelling stays."""
+    found = texts.select(F.col(id_col), F.posexplode(F.regexp_extract_all(text_col, F.lit(CANDIDATE_ANYWHERE), F.lit(0))).alias("pos", "raw"))
     found = found.withColumn("term_key", word_key(F.col("raw"))).where((F.length("term_key") >= 4) & ~F.col("term_key").isin(COMMON) & academic(F.col("raw")))
     grouped = found.groupBy("term_key").agg(F.min(F.struct(id_col, "pos", "raw"))["raw"].alias("term"), F.count("*").alias("n"), F.countDistinct(id_col).alias("texts"))
     return grouped.join(known.select(word_key(F.col("en")).alias("term_key")).distinct(), "term_key", "left_anti")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from inkwright.functions.text import CJK
+from inkwright.functions.text import ANY_SPACE, CJK
 from inkwright.operators import glossary as G
 from inkwright.plans.registry import CORE
 from inkwright.sources.tables import table
@@ -105,20 +105,52 @@ g as (select term_key, arg_min(raw, (doc_id, pos)) as term, count(*) as n, count
 c as (select * from g where term_key not in (select {KEY.format('en')} from corpus where en is not null))"""
 
 
-def mined(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return G.candidates(docs, "doc_id", "text", corpus(spark, sf_dir).where("en is not null"))
+def mined(spark, sf_dir, ascii_only=False):
+    docs, known = table(spark, sf_dir, "documents", "doc_id", "text"), corpus(spark, sf_dir).where("en is not null")
+    if ascii_only:
+        docs = docs.where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
+    else:
+        known = known.withColumn("en", F.regexp_replace("en", ANY_SPACE, " "))
+    return G.candidates(docs, "doc_id", "text", known)
+
+
+def most_frequent(candidates):
+    return candidates.select("term_key", "n").orderBy(F.desc("n"), "term_key").limit(100)
+
+
+def with_field(candidates):
+    field, confidence = G.suggested(F.col("term_key"))
+    return candidates.select("term_key", field.alias("field"), confidence.alias("confidence"))
+
+
+@CORE.query("cand_extract_all")
+def cand_extract_all(spark, sf_dir):
+    """The candidates of all texts."""
+    return mined(spark, sf_dir)
+
+
+@CORE.query("cand_top_all")
+def cand_top_all(spark, sf_dir):
+    """The 100 most frequent candidates of all texts."""
+    return most_frequent(mined(spark, sf_dir))
+
+
+@CORE.query("cand_field_all")
+def cand_field_all(spark, sf_dir):
+    """The field that the words of each candidate of all texts suggest."""
+    return with_field(mined(spark, sf_dir))
 
 
 @CORE.query("cand_extract", f"{CAND} select term_key, term, n, texts from c")
 def cand_extract(spark, sf_dir):
-    return mined(spark, sf_dir)
+    """The candidates of texts that are wholly ASCII, as the SQL's \\b demands; cand_extract_all reads every text."""
+    return mined(spark, sf_dir, ascii_only=True)
 
 
 @CORE.query("cand_top", f"{CAND} select term_key, n from c order by n desc, term_key limit 100")
 def cand_top(spark, sf_dir):
-    """A report of the 100 most frequent candidates."""
-    return mined(spark, sf_dir).select("term_key", "n").orderBy(F.desc("n"), "term_key").limit(100)
+    """A report of the 100 most frequent candidates, of ASCII texts only; cand_top_all reads every text."""
+    return most_frequent(mined(spark, sf_dir, ascii_only=True))
 
 
 HITS = [" + ".join(f"cast(contains(term_key, '{w}') as int)" for w in ws) for _, ws in G.FIELD_KEYWORDS]
@@ -128,9 +160,8 @@ FIELD = "case when best = 0 then '" + G.BROAD_FIELD + "' " + " ".join(f"when ({h
 
 @CORE.query("cand_field", f"{CAND}, b as (select *, {BEST} as best from c) select term_key, {FIELD} as field, case when best = 0 then 0.35::double else least(0.95::double, 0.52::double + best * 0.12::double) end as confidence from b")
 def cand_field(spark, sf_dir):
-    """The field that each candidate's words suggest."""
-    field, confidence = G.suggested(F.col("term_key"))
-    return mined(spark, sf_dir).select("term_key", field.alias("field"), confidence.alias("confidence"))
+    """The field that each candidate's words suggest, of ASCII texts only; cand_field_all reads every text."""
+    return with_field(mined(spark, sf_dir, ascii_only=True))
 
 
 @CORE.query("gloss_upsert", """
