@@ -15,12 +15,16 @@ from inkwright.operators.scale import small
 ORDER = ["file_ord", "field_ord", "term_ord", "term_id"]
 #: Terms up to this count are broadcast; more are joined by a shuffle.
 FEW_TERMS = 100_000
+#: The characters of words, in any script and in ASCII.
+WORD, ASCII_WORD = r"\p{L}\p{N}_", "A-Za-z0-9_"
+#: A prompt takes this many terms.
+RELEVANT = 50
 
 # What a candidate term looks like, words that are none, and markers of academic terms.
 FORMS = r"(?:[A-Z][A-Za-z]+(?:[- ][A-Z][A-Za-z]+){1,4}|[A-Z]{2,}(?:[- ][A-Za-z0-9]+){0,4}|[A-Za-z]+(?:-[A-Za-z]+){1,4})"
 CANDIDATE = rf"\b{FORMS}\b"
 #: The same between any characters that are no letters, digits or underscores; \b knows ASCII ones only.
-CANDIDATE_ANYWHERE = rf"(?<![\p{{L}}\p{{N}}_]){FORMS}(?![\p{{L}}\p{{N}}_])"
+CANDIDATE_ANYWHERE = rf"(?<![{WORD}]){FORMS}(?![{WORD}])"
 COMMON = "abstract introduction related work experiment experiments conclusion appendix figure table algorithm theorem proof this paper our method".split()
 ACADEMIC = "learning optimization alignment transformer retrieval diffusion reasoning representation preference context multimodal vision language".split()
 # Fields and the keywords that suggest them, in order; the field for no keyword.
@@ -43,12 +47,17 @@ FIELD_KEYWORDS = [
 BROAD_FIELD = "neurips_icml_iclr"
 
 
-def flat_terms(corpus: DataFrame) -> DataFrame:
-    """(en, zh, first_id, n_chars): each term without case, its last value and its first row."""
+def placed_terms(corpus: DataFrame) -> DataFrame:
+    """(en, zh, place): each term without case, its last value and the order of its first row."""
     o = F.struct(*ORDER)
     c = corpus.where("en is not null").select(F.lower("en").alias("en"), F.coalesce("zh", F.lit("")).alias("zh"), o.alias("o"))
-    flat = c.groupBy("en").agg(F.max(F.struct("o", "zh")).alias("last"), F.min("o").alias("first"))
-    return flat.select("en", F.col("last.zh").alias("zh"), F.col("first.term_id").alias("first_id"), F.length("en").alias("n_chars"))
+    flat = c.groupBy("en").agg(F.max(F.struct("o", "zh")).alias("last"), F.min("o").alias("place"))
+    return flat.select("en", F.col("last.zh").alias("zh"), "place")
+
+
+def flat_terms(corpus: DataFrame) -> DataFrame:
+    """(en, zh, first_id, n_chars): each term without case, its last value and its first row."""
+    return placed_terms(corpus).select("en", "zh", F.col("place.term_id").alias("first_id"), F.length("en").alias("n_chars"))
 
 
 def stats(corpus: DataFrame) -> DataFrame:
@@ -71,23 +80,27 @@ def lint_counts(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("field").agg(F.count("*").alias("terms"), F.count_if(blank).alias("blank"), F.count_if(~blank & (F.lower(en) == F.lower(zh))).alias("untranslated"))
 
 
-def match_terms(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
-    """(id_col, en, zh): terms that a text holds as whole words or a simple plural. Texts and terms meet on a term's first
-    word, and on its first two where it has more; the pattern then decides. No pair is tried that shares no word."""
-    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda x: x != "")
-    t = terms.where(F.col("en").rlike("^[\\x00-\\x7f]+$") & F.col("en").rlike("[A-Za-z0-9]$") & F.col("en").rlike("^[A-Za-z0-9]")).select("en", "zh", words(F.col("en")).alias("ws"))
-    t = t.select("en", "zh", F.when(F.size("ws") > 2, F.concat_ws(" ", F.slice("ws", 1, 2))).otherwise(F.col("ws")[0]).alias("key"), (F.size("ws") > 2).alias("two"))
+def match_terms(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame, word: str = WORD) -> DataFrame:
+    """(id_col, and the columns of `terms`): terms that a text holds as whole words or a simple plural, case aside. Neither
+    end of a term may touch another character of the class `word`. Any term that isn't blank counts, whatever its characters.
+
+    Texts and terms meet on a term's first word, and on its first two where it has more; the pattern then decides. No pair is
+    tried that shares no word, but for terms without any, which are tried on every text."""
+    words = lambda c: F.filter(F.split(F.lower(c), f"[^{word}]+"), lambda x: x != "")
+    cols = terms.columns
+    t = terms.where(F.col("en").rlike(r"[^\s\p{Z}]")).withColumn("ws", words(F.col("en"))).withColumn("two", F.size("ws") > 2)
+    t = t.select(*cols, F.when(F.col("two"), F.concat_ws(" ", F.slice("ws", 1, 2))).otherwise(F.coalesce(F.get("ws", F.lit(0)), F.lit(""))).alias("key"), "two")
     own = texts.select(id_col, F.lower(text_col).alias("low")).where("low is not null")
     own = own.withColumn("ws", words(F.col("low")))
     # a one-word term may stand in the plural, so each word also counts without its ending
     bare = lambda w, end: F.when(w.endswith(end), F.substring(w, F.lit(1), F.length(w) - len(end)))
-    ones = F.flatten(F.transform("ws", lambda w: F.array_compact(F.array(w, bare(w, "s"), bare(w, "es")))))
+    ones = F.concat(F.array(F.lit("")), F.flatten(F.transform("ws", lambda w: F.array_compact(F.array(w, bare(w, "s"), bare(w, "es"))))))
     twos = F.zip_with("ws", F.expr("slice(ws, 2, size(ws))"), lambda a, b: F.concat_ws(" ", a, b))
     keys = own.select(id_col, "low", F.explode(F.array_distinct(F.concat(F.transform(ones, lambda k: F.struct(F.lit(False).alias("two"), k.alias("key"))), F.transform(twos, lambda k: F.struct(F.lit(True).alias("two"), k.alias("key")))))).alias("k")).select(id_col, "low", "k.two", "k.key")
-    met = keys.join(small(t, FEW_TERMS), ["two", "key"])
+    met = keys.join(small(t, FEW_TERMS), ["two", "key"]).where(F.col("low").contains(F.col("en")))
     escaped = F.regexp_replace("en", r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
     hit = F.expr("rlike(low, pattern)")
-    return met.withColumn("pattern", F.concat(F.lit("(^|[^A-Za-z0-9_])"), escaped, F.lit("(e?s)?([^A-Za-z0-9_]|$)"))).where(hit).select(id_col, "en", "zh").distinct()
+    return met.withColumn("pattern", F.concat(F.lit(f"(?<![{word}])"), escaped, F.lit(f"(e?s)?(?![{word}])"))).where(hit).select(id_col, *cols).distinct()
 
 
 def academic(raw: Column) -> Column:

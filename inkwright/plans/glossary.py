@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from inkwright.functions.text import ANY_SPACE, CJK
 from inkwright.operators import glossary as G
+from inkwright.operators.library import first_per_key
 from inkwright.plans.registry import CORE
 from inkwright.sources.tables import table
 
@@ -61,13 +62,32 @@ def gloss_health(spark, sf_dir):
     return w.join(n, "field", "left").select("field", F.coalesce("n", F.lit(0)).cast("long").alias("terms"))
 
 
+def plain(terms):
+    """The terms on which the SQL's ASCII boundaries agree with others: ASCII, with a letter or digit at both ends."""
+    return terms.where(F.col("en").rlike("^[\\x00-\\x7f]+$") & F.col("en").rlike("[A-Za-z0-9]$") & F.col("en").rlike("^[A-Za-z0-9]"))
+
+
+@CORE.query("gloss_match_all")
+def gloss_match_all(spark, sf_dir):
+    """Every effective term inside the terms of the glossary's rows, themselves included."""
+    return G.match_terms(table(spark, sf_dir, "corpus", "term_id", "en"), "term_id", "en", G.placed_terms(corpus(spark, sf_dir)).select("en", "zh"))
+
+
+@CORE.query("gloss_match_top_all")
+def gloss_match_top_all(spark, sf_dir):
+    """The terms of each text for a prompt: the longest, ties by their place in the glossary, as many as a prompt takes."""
+    met = G.match_terms(table(spark, sf_dir, "corpus", "term_id", "en"), "term_id", "en", G.placed_terms(corpus(spark, sf_dir)).select("en", "place"))
+    return first_per_key(met, ["term_id"], [F.desc(F.length("en")), F.asc("place")], G.RELEVANT).select("term_id", "en", "rank")
+
+
 @CORE.query("gloss_match", f"""
 with t as (select en, zh from ({FLAT}) where {PLAIN}),
 m as materialized (select p.term_id, p.low, t.en, t.zh from (select term_id, lower(en) as low from corpus) p join t on contains(p.low, t.en))
 select term_id, en, zh from m where {BOUND}""")
 def gloss_match(spark, sf_dir):
-    """Effective terms inside the terms of the glossary's rows, themselves included."""
-    return G.match_terms(table(spark, sf_dir, "corpus", "term_id", "en"), "term_id", "en", G.flat_terms(corpus(spark, sf_dir)))
+    """Effective terms inside the terms of the glossary's rows, themselves included, as the SQL has it: only plain ASCII terms,
+    between ASCII boundaries. gloss_match_all takes every term."""
+    return G.match_terms(table(spark, sf_dir, "corpus", "term_id", "en"), "term_id", "en", plain(G.flat_terms(corpus(spark, sf_dir)).select("en", "zh")), G.ASCII_WORD)
 
 
 @CORE.query("gloss_match_top", f"""
@@ -75,9 +95,7 @@ with t as (select en from ({FLAT}) where {PLAIN}),
 m as materialized (select p.term_id, p.low, t.en from (select term_id, lower(en) as low from corpus) p join t on contains(p.low, t.en))
 select term_id, en, cast(rank as int) as rank from (select term_id, en, row_number() over (partition by term_id order by length(en) desc, en) as rank from m where {BOUND}) where rank <= 3""")
 def gloss_match_top(spark, sf_dir):
-    """The three longest terms of each text, for a prompt."""
-    from inkwright.operators.library import first_per_key
-
+    """The three longest plain ASCII terms of each text; gloss_match_top_all takes every term and as many as a prompt."""
     return first_per_key(gloss_match(spark, sf_dir).select("term_id", "en"), ["term_id"], [F.desc(F.length("en")), F.asc("en")], 3)
 
 
@@ -89,8 +107,8 @@ select record_id, en, zh as expected from m where {BOUND} and dst is not null an
 def gloss_audit(spark, sf_dir):
     """Records whose source holds a term and whose translation lacks the standard form."""
     r = table(spark, sf_dir, "term_records", "record_id", "payload").select("record_id", F.get_json_object("payload", "$.en").alias("src"), F.get_json_object("payload", "$.zh").alias("dst")).where("dst is not null")
-    terms = G.flat_terms(corpus(spark, sf_dir)).where(F.col("zh").rlike(CJK))
-    met = G.match_terms(r, "record_id", "src", terms).join(r.select("record_id", "dst"), "record_id")
+    terms = plain(G.flat_terms(corpus(spark, sf_dir)).select("en", "zh")).where(F.col("zh").rlike(CJK))
+    met = G.match_terms(r, "record_id", "src", terms, G.ASCII_WORD).join(r.select("record_id", "dst"), "record_id")
     return met.where(~F.col("dst").contains(F.trim("zh"))).select("record_id", "en", F.trim("zh").alias("expected"))
 
 

@@ -37,3 +37,33 @@ def test_candidates_of_all_texts(spark, tmp_path):
     assert got["deep policy gradient"] == ("Deep Policy Gradient", 3, 3)
     assert {(r.term_key, r.n) for r in CORE.queries["cand_top_all"](spark, str(tmp_path)).collect()} == {(k, v[1]) for k, v in got.items()}
     assert {r.term_key for r in CORE.queries["cand_field_all"](spark, str(tmp_path)).collect()} == set(got)
+
+
+TERMS = ["α-Kinetic Residue", "Naïve Gate", "naïve gates", "gate", "L² Loss", "²", "what?", "(a+b) map", "ve gate", "map", "注意力", "注意力 map", "…", " ", "a_b", "Gate\u00a0Loss", "x", "xs", "boxes", "box", "Big Naïve Gate Loss Map", "Σίγμα loss", "nai\u0308ve", "***", "c++", "C:\\\\d"]
+
+
+def holds(text, en):
+    """A term as a whole word or plural, by single characters."""
+    low, en, at, word = text.lower(), en.lower(), -1, lambda c: c.isalnum() or c == "_"
+    while (at := low.find(en, at + 1)) >= 0:
+        for end in ("", "s", "es"):
+            n = at + len(en + end)
+            if low[at:n] == en + end and not (at and word(low[at - 1])) and not (n < len(low) and word(low[n])):
+                return True
+    return False
+
+
+def test_every_term_matches(spark, tmp_path):
+    terms = TERMS + ["t%d " % k * 2 + "big" for k in range(60)] + [" ".join("t%d t%d big" % (k, k) for k in range(60))]
+    put(spark, tmp_path, "corpus", [(i, "f", 0, "x", 0, 99 - i, en, "词") for i, en in enumerate(terms)] + [(999, "f", 1, "x", 0, 0, None, None)], CORPUS)
+    want = {(i, en.lower()) for i, text in enumerate(terms) for en in terms if en.strip() and holds(text, en)}
+    got = [(r.term_id, r.en) for r in CORE.queries["gloss_match_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {(i, en.lower()) for i, en in enumerate(terms) if en.strip()} <= want  # themselves included
+    place = {en.lower(): 99 - i for i, en in enumerate(terms)}
+    best = defaultdict(list)
+    for i, en in want:
+        best[i].append(en)
+    want = {(i, en, k) for i, ens in best.items() for k, en in enumerate(sorted(ens, key=lambda en: (-len(en), place[en]))[:50], 1)}
+    assert max(len(v) for v in best.values()) > 50
+    assert {tuple(r) for r in CORE.queries["gloss_match_top_all"](spark, str(tmp_path)).collect()} == want
