@@ -30,6 +30,11 @@ def clean_hash(c: Column) -> Column:
     return F.when(h.rlike("^[0-9a-f]{64}$") & ~h.rlike("^0+$"), h)
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any script at the ends."""
+    return F.regexp_replace(c, f"^{ANY_SPACE}|{ANY_SPACE}$", "")
+
+
 def placeholders(c: Column) -> Column:
     """The placeholders of a protected text, sorted: equal lists mean equal multisets."""
     return F.array_sort(F.regexp_extract_all(c, F.lit("⟦\\d+⟧"), F.lit(0)))

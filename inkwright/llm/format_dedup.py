@@ -10,31 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwright.operators.scale import fold_case, join_hot, letters_digits, stage
+from inkwright.operators.records import REQUIRED, payload_fields
+from inkwright.operators.scale import join_hot, letters_digits, stage
 
-#: Labels without which a payload counts as cut off.
-REQUIRED = ("field", "en", "zh")
 #: Hashes are added modulo this prime, below 2^61, so that no sum overflows.
 PRIME = (1 << 61) - 1
 
 
-def payload_fields(payload: Column) -> Column:
-    """The array of (label, value) of a raw record, as written: a JSON object, or label and value joined by a colon with
-    bars between pairs, or by an equals sign with semicolons between them. Null for what is none of these."""
-    text = F.trim(payload)
-    as_json = F.map_entries(F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"}))
-    sign = F.regexp_extract(text, r"^[^:=|;]{1,40}([:=])", 1)
-
-    def pairs(between: str, join: str) -> Column:
-        return F.transform(
-            F.split(text, between + r"(?=[^:=|;]{1,40}" + join + ")"),
-            lambda x: F.struct(F.regexp_extract(x, "(?s)^([^" + join + "]*)" + join, 1).alias("key"), F.regexp_replace(x, "(?s)^[^" + join + "]*" + join, "").alias("value")),
-        )
-
-    whole = text.rlike(r"(?s)^\{.*\}$")
-    return F.when(whole, as_json).when(~text.startswith("{") & (sign == ":"), pairs(r"\|", ":")).when(~text.startswith("{") & (sign == "="), pairs(";", "="))
-
-
 def normal_fields(payload: Column) -> Column:
     """The multiset of normalized (label, value) pairs; null if a required label or its value is missing. Pairs without a
     value say nothing and are left out."""

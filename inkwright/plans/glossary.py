@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from inkwright.functions.text import ANY_SPACE, CJK
+from inkwright.functions.text import ANY_SPACE, CJK, strip
 from inkwright.operators import glossary as G
 from inkwright.operators.library import first_per_key
+from inkwright.operators.records import record_values
 from inkwright.plans.registry import CORE
 from inkwright.sources.tables import table
 
@@ -99,13 +100,23 @@ def gloss_match_top(spark, sf_dir):
     return first_per_key(gloss_match(spark, sf_dir).select("term_id", "en"), ["term_id"], [F.desc(F.length("en")), F.asc("en")], 3)
 
 
+@CORE.query("gloss_audit_all")
+def gloss_audit_all(spark, sf_dir):
+    """Records of every layout whose source holds a term and whose translation lacks the standard form."""
+    r = record_values(table(spark, sf_dir, "term_records", "record_id", "payload"), "record_id")
+    terms = G.placed_terms(corpus(spark, sf_dir)).select("en", strip(F.col("zh")).alias("expected")).where(F.col("expected").rlike(CJK))
+    met = G.match_terms(r, "record_id", "en", terms).join(r.select("record_id", "zh"), "record_id")
+    return met.where(~F.col("zh").contains(F.col("expected"))).select("record_id", "en", "expected")
+
+
 @CORE.query("gloss_audit", f"""
 with t as (select en, zh from ({FLAT}) where {PLAIN} and regexp_matches(zh, '{CJK}')),
 r as (select record_id, json_extract_string(payload, '$.en') as src, json_extract_string(payload, '$.zh') as dst from term_records where json_valid(payload)),
 m as materialized (select r.record_id, lower(r.src) as low, r.dst, t.en, trim(t.zh) as zh from r join t on contains(lower(r.src), t.en))
 select record_id, en, zh as expected from m where {BOUND} and dst is not null and not contains(dst, zh)""")
 def gloss_audit(spark, sf_dir):
-    """Records whose source holds a term and whose translation lacks the standard form."""
+    """JSON records with exact labels whose source holds a plain ASCII term and whose translation lacks the standard form, as the
+    SQL has it; gloss_audit_all takes every layout and every term."""
     r = table(spark, sf_dir, "term_records", "record_id", "payload").select("record_id", F.get_json_object("payload", "$.en").alias("src"), F.get_json_object("payload", "$.zh").alias("dst")).where("dst is not null")
     terms = plain(G.flat_terms(corpus(spark, sf_dir)).select("en", "zh")).where(F.col("zh").rlike(CJK))
     met = G.match_terms(r, "record_id", "src", terms, G.ASCII_WORD).join(r.select("record_id", "dst"), "record_id")
@@ -182,6 +193,12 @@ def cand_field(spark, sf_dir):
     return with_field(mined(spark, sf_dir, ascii_only=True))
 
 
+def by_field(spark, sf_dir):
+    c = corpus(spark, sf_dir).where("en is not null and field is not null")
+    o = F.struct("file_ord", "term_ord", "term_id")
+    return c.groupBy("field", "en").agg(F.max(F.struct(o.alias("o"), F.coalesce("zh", F.lit("")).alias("zh")))["zh"].alias("zh")).withColumn("present", F.lit(True))
+
+
 @CORE.query("gloss_upsert", """
 with o as (select field, en, arg_max(coalesce(zh, ''), (file_ord, term_ord, term_id)) as zh, true as present from corpus where en is not null and field is not null group by 1, 2),
 r as (select regexp_extract(json_extract_string(payload, '$.field'), '[^.]+$') as field, trim(json_extract_string(payload, '$.en'), ' ') as en, trim(json_extract_string(payload, '$.zh'), ' ') as zh
@@ -190,10 +207,14 @@ n as (select field, en, max(zh) as new_zh from r where field <> '' and en <> ''
 select coalesce(o.field, n.field) as field, coalesce(o.en, n.en) as en, coalesce(new_zh, zh) as zh,
   case when new_zh is null or zh = new_zh then 'kept' when present is null then 'added' else 'changed' end as change from o full join n on o.field = n.field and o.en = n.en""")
 def gloss_upsert(spark, sf_dir):
-    """The JSON records, as approved terms, put into the glossary."""
-    c = corpus(spark, sf_dir).where("en is not null and field is not null")
-    o = F.struct("file_ord", "term_ord", "term_id")
-    old = c.groupBy("field", "en").agg(F.max(F.struct(o.alias("o"), F.coalesce("zh", F.lit("")).alias("zh")))["zh"].alias("zh")).withColumn("present", F.lit(True))
+    """The JSON records with exact labels, as approved terms, put into the glossary; gloss_upsert_all takes every layout."""
     get = lambda k: F.get_json_object("payload", f"$.{k}")
     new = table(spark, sf_dir, "term_records", "payload").select(F.regexp_extract(get("field"), "[^.]+$", 0).alias("field"), get("en").alias("en"), get("zh").alias("zh"))
-    return G.upsert(old, new.where("field <> ''"))
+    return G.upsert(by_field(spark, sf_dir), new.where("field <> ''"))
+
+
+@CORE.query("gloss_upsert_all")
+def gloss_upsert_all(spark, sf_dir):
+    """The records of every layout, as approved terms, put into the glossary."""
+    new = record_values(table(spark, sf_dir, "term_records", "payload")).withColumn("field", F.regexp_extract("field", "[^.]+$", 0))
+    return G.upsert(by_field(spark, sf_dir), new.where("field <> ''"))

@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from inkwright.functions import text as X
 from inkwright.operators.folds import greedy_batches
+from inkwright.operators.records import record_values
 from inkwright.plans.registry import CORE
 from inkwright.sources.tables import table
 
@@ -35,10 +36,22 @@ select u.record_id, sha256(u.source) as key, case when e.translation is null the
   list_sort(regexp_extract_all(u.source, '⟦\\d+⟧')) <> list_sort(regexp_extract_all(e.translation, '⟦\\d+⟧')) then 'invalid_placeholders' else 'hit' end as outcome
 from u left join e on e.source = u.source where u.source is not null""")
 def unit_cache_join(spark, sf_dir):
-    """The terms of JSON records looked up in the glossary as a translation cache, by the hash of the source."""
-    c = table(spark, sf_dir, "corpus", "en", "zh").dropna().groupBy("zh").agg(F.max("en").alias("translation"))
-    c = c.select(F.sha2("zh", 256).alias("key"), "translation")
+    """The terms of JSON records with exact labels looked up in the glossary; unit_cache_join_all takes every layout."""
     u = table(spark, sf_dir, "term_records", "record_id", "payload").select("record_id", F.get_json_object("payload", "$.zh").alias("source")).where("source is not null").distinct()
+    return cached(u, table(spark, sf_dir, "corpus", "en", "zh"))
+
+
+@CORE.query("unit_cache_join_all")
+def unit_cache_join_all(spark, sf_dir):
+    """The terms of records of every layout looked up in the glossary as a translation cache."""
+    u = record_values(table(spark, sf_dir, "term_records", "record_id", "payload"), "record_id").select("record_id", F.col("zh").alias("source")).distinct()
+    return cached(u, table(spark, sf_dir, "corpus", "en", "zh"))
+
+
+def cached(u, corpus):
+    """Each source's outcome in the glossary as a translation cache, by the hash of the source."""
+    c = corpus.dropna().groupBy("zh").agg(F.max("en").alias("translation"))
+    c = c.select(F.sha2("zh", 256).alias("key"), "translation")
     j = u.withColumn("key", F.sha2("source", 256)).join(c, "key", "left")
     bad = X.placeholders(F.col("source")) != X.placeholders(F.col("translation"))
     return j.select("record_id", "key", F.when(F.col("translation").isNull(), "missing").when(bad, "invalid_placeholders").otherwise("hit").alias("outcome"))

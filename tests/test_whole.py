@@ -67,3 +67,21 @@ def test_every_term_matches(spark, tmp_path):
     want = {(i, en, k) for i, ens in best.items() for k, en in enumerate(sorted(ens, key=lambda en: (-len(en), place[en]))[:50], 1)}
     assert max(len(v) for v in best.values()) > 50
     assert {tuple(r) for r in CORE.queries["gloss_match_top_all"](spark, str(tmp_path)).collect()} == want
+
+
+RECORDS = [
+    (1, '{"field": "corpus.cs", "en": "Deep Gate", "zh": "深门"}'), (2, "field: corpus.cs | en: Big α-Gate | zh: 大阀"), (3, "EN=deep gates;  Zh=\u3000别\u00a0; note=a: b|c; Field=corpus.cs"),
+    (4, '{"FIELD": "corpus.cs", "EN": "naïve map", "ZH": "图"}'), (5, '{"field": "corpus.cs", "en": "cut'), (6, None), (7, "  "), (8, "field: corpus.cs | en: Deep Gate"), (9, "zh: 深门 | en: Deep Gate | field: corpus.cs"),
+]
+
+
+def test_records_of_all_layouts(spark, tmp_path):
+    put(spark, tmp_path, "term_records", RECORDS, "record_id long, payload string")
+    put(spark, tmp_path, "corpus", [(1, "f", 0, "cs", 0, 0, "deep gate", "深门"), (2, "f", 0, "cs", 0, 1, "α-gate", " 阿门 "), (3, "f", 0, "cs", 0, 2, "naïve map", "朴素图"), (4, "f", 0, "cs", 0, 3, "big", "big")], CORPUS)
+    rows = lambda name: sorted(tuple(r) for r in CORE.queries[name](spark, str(tmp_path)).collect())
+    assert rows("gloss_audit_all") == [(2, "α-gate", "阿门"), (3, "deep gate", "深门"), (4, "naïve map", "朴素图")]
+    assert rows("gloss_upsert_all") == sorted([
+        ("cs", "deep gate", "深门", "kept"), ("cs", "α-gate", " 阿门 ", "kept"), ("cs", "naïve map", "图", "changed"), ("cs", "big", "big", "kept"), ("cs", "Deep Gate", "深门", "added"), ("cs", "Big α-Gate", "大阀", "added"),
+        ("cs", "deep gates", "别", "added"),
+    ])
+    assert [(i, o) for i, _, o in rows("unit_cache_join_all")] == [(1, "hit"), (2, "missing"), (3, "missing"), (4, "missing"), (9, "hit")]
