@@ -35,6 +35,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{ANY_SPACE}|{ANY_SPACE}$", "")
 
 
+# What stands for Chinese without its region or script.
+CHINESE = ["zh", "zho", "chi", "cmn", "chinese", "mandarin", "中文", "汉语", "漢語", "华语", "華語", "普通话", "普通話", "国语", "國語", "简体中文", "繁体中文", "簡體中文", "繁體中文", "simplified chinese", "traditional chinese"]
+
+
+def says_chinese(lang: Column) -> Column:
+    """Whether a language is named as Chinese: a code with or without region and script, or a name; case and spaces aside."""
+    name = F.lower(strip(lang))
+    return F.coalesce(F.regexp_extract(name, r"^([^-_.(（]*[^-_.(（\s])\s*([-_.(（].*)?$", 1).isin(CHINESE), F.lit(False))
+
+
 def placeholders(c: Column) -> Column:
     """The placeholders of a protected text, sorted: equal lists mean equal multisets."""
     return F.array_sort(F.regexp_extract_all(c, F.lit("⟦\\d+⟧"), F.lit(0)))

@@ -106,8 +106,19 @@ with p as (select doc_id, len(regexp_extract_all(text, '{X.CJK_WIDE}')) as cjk,
   len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x in ({STOP}))) as stop from documents where lang = 'zh' and text is not null)
 select doc_id, cast(words as int) as words, cast(stop as int) as stopwords from p where words >= 12 and stop >= 3 and cjk < 8""")
 def untranslated_detect(spark, sf_dir):
-    """Texts said to be Chinese that are running English prose."""
-    p = txt_profile(spark, sf_dir).join(docs(spark, sf_dir, "lang").where("lang = 'zh'").select("doc_id"), "doc_id", "left_semi")
+    """Texts whose lang is just zh, as the SQL has it, that are running English prose; untranslated_detect_all takes every
+    way to write Chinese."""
+    return english_prose(spark, sf_dir, F.col("lang") == "zh")
+
+
+@CORE.query("untranslated_detect_all")
+def untranslated_detect_all(spark, sf_dir):
+    """Texts said to be Chinese, however written, that are running English prose."""
+    return english_prose(spark, sf_dir, X.says_chinese(F.col("lang")))
+
+
+def english_prose(spark, sf_dir, which):
+    p = txt_profile(spark, sf_dir).join(docs(spark, sf_dir, "lang").where(which).select("doc_id"), "doc_id", "left_semi")
     return p.where("latin_words >= 12 and stopwords >= 3 and cjk_wide < 8").select("doc_id", F.col("latin_words").alias("words"), "stopwords")
 
 

@@ -85,3 +85,11 @@ def test_records_of_all_layouts(spark, tmp_path):
         ("cs", "deep gates", "别", "added"),
     ])
     assert [(i, o) for i, _, o in rows("unit_cache_join_all")] == [(1, "hit"), (2, "missing"), (3, "missing"), (4, "missing"), (9, "hit")]
+
+
+def test_untranslated_however_written(spark, tmp_path):
+    prose = "The weights of the network and the rate of the step are set by hand in this part of the work"
+    said = ["zh", "ZH", " zh ", "zh-CN", "zh_Hans_CN", "zho", "chi", "Chinese", "Chinese (Simplified)", "简体中文", "中文（简体）", "zh.UTF-8", "Simplified Chinese"]
+    other = ["en", "eng", "EN", "mix", None, "", "zha", "de", "fr-CN", "-zh", "zhx-CN"]
+    put(spark, tmp_path, "documents", [(i, prose, lang) for i, lang in enumerate(said + other)] + [(99, "中文文本在此处，共有十个字以上。" + prose, "zh-CN"), (98, "short", "zh")], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in CORE.queries["untranslated_detect_all"](spark, str(tmp_path)).collect()) == list(range(len(said)))
