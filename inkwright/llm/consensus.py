@@ -144,19 +144,50 @@ def best_papers(papers: DataFrame) -> DataFrame:
 
     Rows whose scope, size or file name is null are in no group. An updated_at that is null, before created_at, or in 2027 or
     later isn't trusted: such rows come after all others and tie. A null created_at comes last. Ties: the smaller id.
+    The rule names the most trusted row, so an aggregate takes it; a consensus has no say.
     """
+    members = grouped(papers)
+    status = first_rows(members, recent_first()).withColumnRenamed("id", "status_id")
+    file = first_rows(filed(members), recent_first()).withColumnRenamed("id", "file_id")
+    name = first_rows(members, oldest_first()).withColumnRenamed("id", "name_id")
+    return status.join(file, "group_id", "left").join(name, "group_id").select("group_id", "status_id", F.coalesce("file_id", F.lit("")).alias("file_id"), "name_id")
+
+
+def consensus_papers(papers: DataFrame) -> DataFrame:
+    """(group_id, status_id, file_id, name_id) of the groups of `best_papers`, each row with one vote: the row whose value is
+    closest to the consensus of tokens supplies it, the rows of one value in the order of `best_papers`. This isn't TESTDATA's rule."""
+    members, g, one = grouped(papers), ["group_id"], F.lit(1.0)
+    status = surviving_rows(members, g, "translation_status", "id", recent_first(), one).withColumnRenamed("id", "status_id")
+    file = surviving_rows(filed(members), g, "translated_filename", "id", recent_first(), one).withColumnRenamed("id", "file_id")
+    name = surviving_rows(members, g, "original_filename", "id", oldest_first(), one).withColumnRenamed("id", "name_id")
+    return status.join(file, g, "left").join(name, g).select("group_id", "status_id", F.coalesce("file_id", F.lit("")).alias("file_id"), "name_id")
+
+
+def first_rows(members: DataFrame, trust: list[Column]) -> DataFrame:
+    """(group_id, id): the first row of each group in ascending order of `trust`; ties go to the smaller id."""
+    order = F.struct(*[t.alias(f"t{i}") for i, t in enumerate(trust)], F.col("id"))
+    return members.groupBy("group_id").agg(F.min(order)["id"].alias("id"))
+
+
+def recent_first() -> list[Column]:
+    good = F.col("updated_at").isNotNull() & (F.col("updated_at") < F.lit(FUTURE).cast("timestamp_ntz")) & ~F.coalesce(F.col("updated_at") < F.col("created_at"), F.lit(False))
+    late_first = F.when(good, -F.unix_micros(F.col("updated_at").cast("timestamp"))).otherwise(F.lit(0))
+    return [F.when(good, 0).otherwise(1), late_first]
+
+
+def oldest_first() -> list[Column]:
+    return [F.col("created_at").isNull().cast("int"), F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(0))]
+
+
+def filed(members: DataFrame) -> DataFrame:
+    """The rows with a translated_filename that is neither blank nor a filler."""
+    return members.where(~F.coalesce(F.lower(F.trim(F.regexp_replace("translated_filename", r"[\s\p{Z}]+", " "))), F.lit("")).isin(FILLERS))
+
+
+def grouped(papers: DataFrame) -> DataFrame:
+    """The rows of papers in groups of two or more, with their group_id."""
     key = ["access_scope", "file_size", "k"]
     rows = papers.select("id", "access_scope", "file_size", "translation_status", "translated_filename", "original_filename", "created_at", "updated_at", file_key(F.col("original_filename")).alias("k"))
     rows = stage(rows.dropna(subset=["id", *key]).dropDuplicates(["id"]), "papers")  # the keys are needed twice
     groups = rows.groupBy(*key).agg(F.min("id").alias("group_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = stage(rows.join(groups, key).drop(*key), "members")
-    good = F.col("updated_at").isNotNull() & (F.col("updated_at") < F.lit(FUTURE).cast("timestamp_ntz")) & ~F.coalesce(F.col("updated_at") < F.col("created_at"), F.lit(False))
-    late_first = F.when(good, -F.unix_micros(F.col("updated_at").cast("timestamp"))).otherwise(F.lit(0))
-    recent = [F.when(good, 0).otherwise(1), late_first]
-    oldest = [F.col("created_at").isNull().cast("int"), F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(0))]
-    filed = members.where(~F.coalesce(F.lower(F.trim(F.regexp_replace("translated_filename", r"[\s\p{Z}]+", " "))), F.lit("")).isin(FILLERS))
-    g = ["group_id"]
-    status = surviving_rows(members, g, "translation_status", "id", recent).withColumnRenamed("id", "status_id")
-    file = surviving_rows(filed, g, "translated_filename", "id", recent).withColumnRenamed("id", "file_id")
-    name = surviving_rows(members, g, "original_filename", "id", oldest).withColumnRenamed("id", "name_id")
-    return status.join(file, g, "left").join(name, g).select("group_id", "status_id", F.coalesce("file_id", F.lit("")).alias("file_id"), "name_id")
+    return stage(rows.join(groups, key).drop(*key), "members")

@@ -49,6 +49,12 @@ def p5_found(spark, sf_dir):
     return consensus.best_papers(table(spark, sf_dir, "papers"))
 
 
+@_query("p5_consensus")
+def p5_consensus(spark, sf_dir):
+    """The rows that a consensus of tokens with equal votes picks, for comparison with p5_found."""
+    return consensus.consensus_papers(table(spark, sf_dir, "papers"))
+
+
 @_query("p6_ids")
 def p6_ids(spark, sf_dir):
     return tokens.token_ids(table(spark, sf_dir, "documents", "doc_id", "text"))
