@@ -127,14 +127,11 @@ FILLERS = ["", "n/a", "na", "null", "none", "nil", "-", "--", "undefined", "unkn
 
 
 def file_key(name: Column) -> Column:
-    """A file name without case, spacing, punctuation, encoded spaces, extension and marks of a copy."""
+    """A file name without case, spacing, punctuation, encoded spaces, extension and marks of a copy, however many."""
     n = F.trim(F.regexp_replace(F.regexp_replace(fold_case(name), "(%20|\\+|_)", " "), r"[\s\p{Z}]+", " "))
-    stem = F.regexp_replace(n, r"(\s*\.\s*(pdf|ps|djvu|docx?|tex))+$", "")
-    mark = r"(\s*[\s\-–]\s*(copy|kopie|copie)(\s*\(?\d{1,3}\)?)?|\s*\(\d{1,3}\)|\s*(的)?副本(\s*\(?\d{1,3}\)?)?)$"
-    bare = stem
-    for _ in range(3):
-        bare = F.regexp_replace(F.regexp_replace(bare, mark, ""), r"^(copy|kopie|copie)( \(\d+\))? (of|von|de) ", "")
-        bare = F.regexp_replace(bare, r"(\s*\.\s*(pdf|ps|djvu|docx?|tex))+$", "")
+    ext = r"\s*\.\s*(pdf|ps|djvu|docx?|tex)"
+    mark = r"\s*[\s\-–]\s*(copy|kopie|copie)(\s*\(?\d{1,3}\)?)?|\s*\(\d{1,3}\)|\s*(的)?副本(\s*\(?\d{1,3}\)?)?"
+    bare = F.regexp_replace(F.regexp_replace(n, f"({ext}|{mark})+$", ""), r"^((copy|kopie|copie)( \(\d+\))? (of|von|de) )+", "")
     only = F.regexp_replace(bare, r"[^\p{L}\p{N}]", "")
     return F.when(only == "", F.regexp_replace(n, r"\s", "")).otherwise(only)
 
