@@ -124,12 +124,13 @@ REDACTIONS = [
 LONGEST_ERROR, SHOWN_ERROR = 500, 200
 
 
-def redact_error(c: Column) -> Column:
-    """An error message without secrets, paths, addresses and hosts."""
-    out = F.substring(c, 1, LONGEST_ERROR)
+def redact_error(c: Column, capped: bool = True) -> Column:
+    """A text without secrets, paths, addresses and hosts. `capped`, for error messages: only the first LONGEST_ERROR characters
+    are taken, and of the result the first SHOWN_ERROR are shown."""
+    out = F.substring(c, 1, LONGEST_ERROR) if capped else c
     for pattern, put in REDACTIONS:
         out = F.regexp_replace(out, pattern, put)
-    return F.when(F.length(out) > SHOWN_ERROR, F.concat(F.substring(out, 1, SHOWN_ERROR), F.lit("..."))).otherwise(out)
+    return F.when(F.length(out) > SHOWN_ERROR, F.concat(F.substring(out, 1, SHOWN_ERROR), F.lit("..."))).otherwise(out) if capped else out
 
 
 def safe_id(c: Column) -> Column:

@@ -132,11 +132,23 @@ def txt_clean(spark, sf_dir):
     return c.select("doc_id", F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", "\n"))).alias("lines"), F.md5("t").alias("text_md5"))
 
 
+MARKS = r"\[(path|ip|host|redacted)\]"
+
+
 @CORE.query("txt_redact")
 def txt_redact(spark, sf_dir):
-    """Every text as an error message would be shown."""
-    r = docs(spark, sf_dir, "text").where("text is not null").select("doc_id", X.redact_error(F.col("text")).alias("shown"))
-    return r.select("doc_id", "shown", F.regexp_count("shown", F.lit(r"\[(path|ip|host|redacted)\]")).alias("marks"))
+    """Every text, whole, without secrets, paths, addresses and hosts."""
+    r = docs(spark, sf_dir, "text").where("text is not null").select("doc_id", X.redact_error(F.col("text"), capped=False).alias("shown"))
+    return r.select("doc_id", "shown", F.regexp_count("shown", F.lit(MARKS)).alias("marks"))
+
+
+@CORE.query("error_redact")
+def error_redact(spark, sf_dir):
+    """(rec_kind, id, shown, marks): every error message of papers and jobs as it would be shown, with its bounds of length."""
+    p = table(spark, sf_dir, "papers", "id", F.col("translation_error").alias("error")).select(F.lit("paper").alias("rec_kind"), "id", "error")
+    j = table(spark, sf_dir, "translation_jobs", "id", "error").select(F.lit("job").alias("rec_kind"), "id", "error")
+    r = p.unionByName(j).where("error is not null").select("rec_kind", "id", X.redact_error(F.col("error")).alias("shown"))
+    return r.select("rec_kind", "id", "shown", F.regexp_count("shown", F.lit(MARKS)).alias("marks"))
 
 
 MARK = " + ".join(f"cast(contains(t, '{m}') as int)" for m in X.MARKERS)

@@ -93,3 +93,14 @@ def test_untranslated_however_written(spark, tmp_path):
     other = ["en", "eng", "EN", "mix", None, "", "zha", "de", "fr-CN", "-zh", "zhx-CN"]
     put(spark, tmp_path, "documents", [(i, prose, lang) for i, lang in enumerate(said + other)] + [(99, "中文文本在此处，共有十个字以上。" + prose, "zh-CN"), (98, "short", "zh")], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in CORE.queries["untranslated_detect_all"](spark, str(tmp_path)).collect()) == list(range(len(said)))
+
+
+def test_redaction_of_whole_texts_and_capped_errors(spark, tmp_path):
+    long = "word " * 200 + "see /srv/data/x and 10.0.0.1:80 with token=abc"
+    put(spark, tmp_path, "documents", [(1, long), (2, None)], "doc_id long, text string")
+    put(spark, tmp_path, "papers", [("p", long), ("q", "failed at /srv/x"), ("r", None)], "id string, translation_error string")
+    put(spark, tmp_path, "translation_jobs", [("j", "host 10.0.0.1 down")], "id string, error string")
+    assert [tuple(r) for r in CORE.queries["txt_redact"](spark, str(tmp_path)).collect()] == [(1, "word " * 200 + "see [path] and [ip] with token=[redacted]", 3)]
+    assert sorted(tuple(r) for r in CORE.queries["error_redact"](spark, str(tmp_path)).collect()) == [
+        ("job", "j", "host [ip] down", 1), ("paper", "p", "word " * 40 + "...", 0), ("paper", "q", "failed at [path]", 1),
+    ]
