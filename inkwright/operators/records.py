@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwright.functions.text import strip
-from inkwright.operators.scale import letters_digits
+from inkwright.operators.scale import bind, letters_digits
 
 #: Labels without which a payload counts as cut off.
 REQUIRED = ("field", "en", "zh")
@@ -17,16 +17,15 @@ def payload_fields(payload: Column) -> Column:
     bars between pairs, or by an equals sign with semicolons between them. Null for what is none of these."""
     text = F.trim(payload)
     as_json = F.map_entries(F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"}))
-    sign = F.regexp_extract(text, r"^[^:=|;]{1,40}([:=])", 1)
 
     def pairs(between: str, join: str) -> Column:
         return F.transform(
-            F.split(text, between + r"(?=[^:=|;]{1,40}" + join + ")"),
-            lambda x: F.struct(F.regexp_extract(x, "(?s)^([^" + join + "]*)" + join, 1).alias("key"), F.regexp_replace(x, "(?s)^[^" + join + "]*" + join, "").alias("value")),
+            F.split(text, between + r"(?=[^:=|;]+" + join + ")"),
+            lambda x: F.struct(F.substring_index(x, join, 1).alias("key"), F.substring(x, F.locate(join, x) + 1, F.length(x)).alias("value")),
         )
 
-    whole = text.rlike(r"(?s)^\{.*\}$")
-    return F.when(whole, as_json).when(~text.startswith("{") & (sign == ":"), pairs(r"\|", ":")).when(~text.startswith("{") & (sign == "="), pairs(";", "="))
+    plain = bind(F.regexp_extract(text, r"^[^:=|;]+([:=])", 1), lambda sign: F.when(sign == ":", pairs(r"\|", ":")).when(sign == "=", pairs(";", "=")))
+    return F.when(text.rlike(r"(?s)^\{.*\}$"), as_json).when(~text.startswith("{"), plain)
 
 
 def record_values(records: DataFrame, *keep: str, payload_col: str = "payload") -> DataFrame:

@@ -5,17 +5,24 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What may be broadcast, in bytes.
+BYTES = 64 << 20
+
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session gets a temporary one; a
+    cluster gets an error, since its executors would write to folders of their own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="inkwright-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -52,9 +59,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """`df` marked for broadcast if it has at most `rows` rows (counted, not guessed); else unmarked, so that the join shuffles."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).limit(rows + 1).collect()) <= rows else df
+def small(df: DataFrame, rows: int, size: int = BYTES) -> DataFrame:
+    """`df` marked for broadcast if it has at most `rows` rows and its values at most `size` bytes as text (counted on the
+    executors, not guessed); else unmarked, so that the join shuffles."""
+    text = F.coalesce(F.octet_length(F.to_json(F.struct(*df.columns))), F.lit(0)) if df.columns else F.lit(0)
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(text), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
 def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total: int, share: int = 200) -> DataFrame:
@@ -66,6 +76,22 @@ def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total:
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
 
 
+def join_split(a: DataFrame, b: DataFrame, keys: list[str], most: int = 10_000) -> DataFrame:
+    """Inner join in which no task gets all rows of a key: the rows of `b` of a key with more than `most` of them are dealt out
+    to parts, and the rows of `a` go to each part. Every pair comes out once; keys of `b` beyond `most` are few (rows / most)."""
+    hot = b.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
+    hot = small(stage(hot, "hot"), 1_000_000)
+    parts = F.coalesce("_parts", F.lit(1))
+    a = a.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    b = b.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*[c for c in b.columns if c not in keys] or keys), parts).cast("int")).drop("_parts")
+    return a.join(b, [*keys, "_part"]).drop("_part")
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with `value` computed once per row, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold_case(c: Column) -> Column:
     """Letters alike for any case, with forms such as the micro sign and final sigma joined to their letter."""
     # lower(upper(c)) alone would be simplified to lower(c)
@@ -74,4 +100,4 @@ def fold_case(c: Column) -> Column:
 
 def letters_digits(c: Column) -> Column:
     """Only letters and digits, without case."""
-    return F.regexp_replace(fold_case(c), r"[^\p{L}\p{N}]", "")
+    return F.regexp_replace(fold_case(c), r"[^\p{L}\p{N}]+", "")
