@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwright.operators.records import REQUIRED, payload_fields
-from inkwright.operators.scale import join_hot, letters_digits, stage
+from inkwright.operators.scale import bind, join_hot, letters_digits, stage
 
 #: Hashes are added modulo this prime, below 2^61, so that no sum overflows.
 PRIME = (1 << 61) - 1
@@ -19,10 +19,18 @@ PRIME = (1 << 61) - 1
 
 def normal_fields(payload: Column) -> Column:
     """The multiset of normalized (label, value) pairs; null if a required label or its value is missing. Pairs without a
-    value say nothing and are left out."""
+    value say nothing and are left out. Labels and values may have any length."""
     pairs = F.transform(payload_fields(payload), lambda p: F.struct(letters_digits(p["key"]).alias("label"), F.coalesce(letters_digits(p["value"]), F.lit("")).alias("value")))
-    pairs = F.filter(pairs, lambda p: p["value"] != "")
-    return F.when(F.array_size(F.array_intersect(F.transform(pairs, lambda p: p["label"]), F.array(*map(F.lit, REQUIRED)))) == len(REQUIRED), pairs)
+    whole = lambda ps: F.array_size(F.array_intersect(F.transform(ps, lambda p: p["label"]), F.array(*map(F.lit, REQUIRED)))) == len(REQUIRED)
+    return bind(F.filter(pairs, lambda p: p["value"] != ""), lambda ps: F.when(whole(ps), ps))
+
+
+def equal_multisets(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same members equally often."""
+    times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
+    plain = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
+    members = (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
+    return (F.size(a) == F.size(b)) & members & (plain | F.forall(a, lambda x: times(a, x) == times(b, x)))
 
 
 def multiset_hash(pairs: Column, seed: int) -> Column:
@@ -31,24 +39,26 @@ def multiset_hash(pairs: Column, seed: int) -> Column:
 
 
 def collapse_records(records: DataFrame, id_col: str = "record_id", payload_col: str = "payload") -> DataFrame:
-    """(record_id, kept_id, copies): every record with the smallest id of its group of copies and the group's size. Null, blank
-    and cut-off payloads are no records and give no row. A group may hold any share of all rows: groups are counted before
-    anything is joined, and the rows of a hot group don't shuffle. Rows repeated under one id count once."""
-    recs = records.select(F.col(id_col).alias("record_id"), normal_fields(F.col(payload_col)).alias("pairs")).where("pairs is not null and record_id is not null")
-    recs = stage(recs.select("record_id", "pairs", multiset_hash(F.col("pairs"), 1).alias("f1"), multiset_hash(F.col("pairs"), 2).alias("f2")), "records")
-    total = recs.count()
-    groups = recs.groupBy("f1", "f2").agg(F.min("record_id").alias("first_id"), F.count("*").alias("n"))
+    """(record_id, kept_id): every record with the smallest id of its group of copies. Null, blank and cut-off payloads are no
+    records and give no row. A group may hold any share of all rows: groups are counted before anything is joined, and the rows
+    of a hot group don't shuffle. Rows repeated under one id count once."""
+    parsed = records.select(F.col(id_col).alias("record_id"), normal_fields(F.col(payload_col)).alias("pairs"))
+    # filtered after the write: a filter before it would parse every payload twice
+    recs = stage(parsed.select("record_id", "pairs", multiset_hash(F.col("pairs"), 1).alias("f1"), multiset_hash(F.col("pairs"), 2).alias("f2")), "records").where("pairs is not null and record_id is not null")
+    keys = recs.select("record_id", "f1", "f2")
+    groups = keys.groupBy("f1", "f2").agg(F.min("record_id").alias("first_id"), F.count("*").alias("n"))
     shared = stage(groups.where("n > 1"), "groups")
-    firsts = recs.join(shared.select(F.col("first_id").alias("record_id")), "record_id", "left_semi").select("f1", "f2", F.col("pairs").alias("first_pairs")).dropDuplicates(["f1", "f2"])
-    met = join_hot(recs, shared.join(firsts, ["f1", "f2"]), ["f1", "f2"], "n", total)
-    same = (F.size("pairs") == F.size("first_pairs")) & (F.size(F.array_except("pairs", "first_pairs")) == 0) & (F.size(F.array_except("first_pairs", "pairs")) == 0)
-    met = met.withColumn("same", same)
-    equal = met.where("same").select("record_id", F.col("first_id").alias("kept_id"), "f1", "f2")
+    firsts = recs.join(shared.select(F.col("first_id").alias("record_id"), "f1", "f2"), ["record_id", "f1", "f2"], "left_semi").groupBy("f1", "f2").agg(F.first("pairs").alias("first_pairs"))
+    met = join_hot(recs, shared.join(firsts, ["f1", "f2"]), ["f1", "f2"], "n", keys.count())
+    same = equal_multisets(F.col("pairs"), F.col("first_pairs"))
+    fields = F.array_join(F.array_sort(F.transform("pairs", lambda p: F.concat_ws("\x01", p["label"], p["value"]))), "\x02")
+    met = stage(met.select("record_id", "first_id", bind(same, lambda s: F.when(~s, fields)).alias("other")), "met")
+    equal = met.where("other is null").select("record_id", F.col("first_id").alias("kept_id"))
     # fields differ under one pair of sums: such rows, if any, are grouped by the fields themselves
-    other = met.where("not same").withColumn("text", F.array_join(F.array_sort(F.transform("pairs", lambda p: F.concat_ws("\x01", p["label"], p["value"]))), "\x02"))
-    other = other.join(other.groupBy("text").agg(F.min("record_id").alias("kept_id")), "text").select("record_id", "kept_id", "f1", "f2")
-    single = recs.join(shared.select("f1", "f2"), ["f1", "f2"], "left_anti").select("record_id", F.col("record_id").alias("kept_id"), "f1", "f2")
-    return equal.unionByName(other).unionByName(single).select("record_id", "kept_id").distinct()
+    other = met.where("other is not null")
+    other = other.join(other.groupBy("other").agg(F.min("record_id").alias("kept_id")), "other").select("record_id", "kept_id")
+    single = keys.join(shared.select("f1", "f2"), ["f1", "f2"], "left_anti").select("record_id", F.col("record_id").alias("kept_id"))
+    return equal.unionByName(other).unionByName(single).distinct()
 
 
 def copies(records: DataFrame) -> DataFrame:

@@ -10,13 +10,13 @@ cut in halves, as a tree, and joined in this way.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Folder of the vocabulary files; a parameter of every function below.
+#: Folder of the vocabulary files on the driver; a parameter of every function below.
 TOKENIZERS = "/opt/tokenizers"
 #: Characters of a text encoded as one piece; bytes of a run without a place to cut that are merged at once.
 PIECE, RUN = 16_384, 4_096
@@ -27,14 +27,16 @@ _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: bytes):
         import regex
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.core = self.enc._core_bpe
         self.words = regex.compile(PATTERN)
+        # a pretoken is of one class but for a space before it or a contraction
+        self.unbroken = regex.compile(r"\p{L}{%d}|\p{N}{%d}|[^\s\p{L}\p{N}]{%d}|\s{%d}" % ((RUN // 4,) * 4))
         self.bytes = {i: b for b, i in ranks.items()}
 
     def word(self, data: bytes) -> list[int]:
@@ -64,16 +66,11 @@ class Encoder:
             k = min(k, max(len(left), len(right)))
 
     def text(self, text: str) -> list[int]:
-        """The ids of a text; runs without a cut of more than RUN bytes are merged as a tree."""
-        if len(text) <= RUN // 4:
+        """The ids of a text; runs without a cut of more than RUN bytes are merged as a tree. Every pretoken is taken from
+        the whole text, since white space is cut by what follows it."""
+        if len(text) <= RUN // 4 or not self.unbroken.search(text):
             return self.enc.encode_ordinary(text)
-        ids, at = [], 0
-        long = [m.span() for m in self.words.finditer(text) if m.end() - m.start() > RUN // 4]
-        for a, b in long:
-            ids += self.enc.encode_ordinary(text[at:a]) if a > at else []
-            ids += self.word(text[a:b].encode("utf-8"))
-            at = b
-        return ids + self.enc.encode_ordinary(text[at:]) if at < len(text) else ids
+        return self.until(text, len(text))
 
     def starts(self, text: str) -> list[int]:
         return [m.start() for m in self.words.finditer(text)]
@@ -108,33 +105,43 @@ class Encoder:
             size *= 4
 
 
-def encoder(name: str, folder: str) -> Encoder:
-    """The process's encoder of a vocabulary."""
-    path = f"{folder}/{name}.tiktoken"
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(name: str, folder: str = TOKENIZERS) -> Encoder:
+    """The process's encoder of a vocabulary in a folder that this process can read."""
+    return loaded(f"{folder}/{name}", lambda: vocabulary_bytes(name, folder))
+
+
+def vocabulary_bytes(name: str, folder: str) -> bytes:
+    with open(f"{folder}/{name}.tiktoken", "rb") as f:
+        return f.read()
+
+
+def loaded(key: str, data: Callable[[], bytes]) -> Encoder:
+    if key not in _encoders:
+        _encoders[key] = Encoder(data())
+    return _encoders[key]
 
 
 def token_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS, piece: int = PIECE) -> DataFrame:
     """(id_col, ids): every row's ids, without special tokens, whose strings count as ordinary text. Null and empty texts have
     an empty list. Rows are kept as they are, repeated ids included; texts longer than `piece` characters are encoded in
     pieces that different tasks may take."""
+    # the driver reads the file once and ships it: under 1 MB, whatever the data
+    shipped, key = df.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary, folder)), f"{folder}/{vocabulary}"
     src = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def short(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary, folder)
+        enc = loaded(key, lambda: shipped.value)
         for p in parts:
             yield pd.DataFrame({id_col: p[id_col], "ids": [enc.text(t) for t in p["text"]]})
 
     def pieces(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary, folder)
+        enc = loaded(key, lambda: shipped.value)
         for p in parts:
             p["ids"] = [enc.text(t) for t in p["part"]]
             yield p
 
     def joined(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary, folder)
+        enc = loaded(key, lambda: shipped.value)
         for p in parts:
             out = []
             for xs in p["xs"]:

@@ -84,6 +84,22 @@ def test_formats(spark):
     assert format_dedup.copies(df.limit(0)).count() == 0
 
 
+def test_long_labels_and_repeated_fields(spark):
+    """A label of any length is a label in every layout and place; a field given twice isn't a copy of one given once."""
+    long = "a label of more than forty characters, as someone wrote it"
+    rows = [
+        (1, json.dumps({long: "n", "field": "f", "en": "e", "zh": "z"})), (2, f"{long}: n | field: f | en: e | zh: z"), (3, f"field=f;en=e;zh=z;{long}=n"), (4, f"field=f;{long}=n;zh=z;en=e"),
+        (5, "field=f;en=e;zh=z;note=a;note=a;tag=b"), (6, "field=f;en=e;zh=z;note=a;tag=b;tag=b"), (7, "note=A;zh=z;field=f;tag=b;note=a;en=e"),
+    ]
+    df = spark.createDataFrame(rows, "record_id long, payload string")
+    assert sorted(tuple(r) for r in format_dedup.copies(df).collect()) == [(1, 2), (1, 3), (1, 4), (5, 7)]
+
+
+def test_multisets_compare_by_count(spark):
+    got = spark.createDataFrame([(["a", "a", "b"], ["a", "b", "b"]), (["a", "b", "a"], ["b", "a", "a"]), ([], []), (["a"], ["a", "a"])], "x array<string>, y array<string>")
+    assert [r.e for r in got.select(format_dedup.equal_multisets(F.col("x"), F.col("y")).alias("e")).collect()] == [False, True, True, False]
+
+
 def test_hot_group(spark):
     df = spark.range(600).select(F.col("id").alias("record_id"), F.when(F.col("id") % 3 > 0, F.lit("field=a;en=b;zh=c")).otherwise(F.concat(F.lit("field=a;zh=c;en=b"), F.col("id"))).alias("payload"))
     assert format_dedup.copies(df).count() == 399

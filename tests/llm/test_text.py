@@ -23,6 +23,19 @@ def test_tokens(spark):
     assert tokens.token_ids(df.limit(0)).count() == 0
 
 
+def test_white_space_before_long_runs(spark):
+    """White space is cut by what follows it, so a long run must not hide it: every kind of both, whole and in pieces."""
+    t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    blanks = ["\n\n", " ", "  ", "\t\n", " \n ", "\r\n\r\n", "\u3000\u3000", "\u2003 ", "\n" * 50]
+    runs = ["x" * 1025, "地" * 1100, "ACGT" * 400, "9" * 1500, "!?" * 700, " " * 1500 + "b", "x" * 20_000]
+    texts = ["foo" + b + run + b + "end." + b + run[:1030] for b in blanks for run in runs]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
+    for piece in (37, 1024, 16_384):
+        assert {r.doc_id: list(r.ids) for r in tokens.token_ids(df, piece=piece).collect()} == want
+
+
 def test_joins():
     e = tokens.encoder("byte_bpe_50k", "/opt/tokenizers")
     r = random.Random(2)
