@@ -3,7 +3,8 @@
 Compatibility forms become plain, characters without width go, spaces and hyphens become one kind each. Then every token is
 a lattice: each letter may stand for any letter of the same shape in another script. The form that counts is the path with
 the best score by Viterbi: a bigram model of letters over all texts, plus a price for changing the script inside a token.
-The lattice depends only on the shapes, so tokens that look alike get the same path.
+The lattice depends only on the shapes, so tokens written with other letters of the same shapes get the same path. A few
+letters look like letters of two shapes; for these the best path decides which shape is meant, token by token.
 """
 
 from __future__ import annotations
@@ -17,14 +18,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwright.operators.scale import join_hot, stage
+from inkwright.operators.scale import join_hot, join_split, stage
 
-# Letters of one shape in different scripts (Latin, then Greek, Cyrillic and others; Han, then kana).
+# Letters of one shape in different scripts (Latin, then Greek, Cyrillic, Armenian, Coptic, Cherokee, Lisu; Han,
+# then kana).
 SHAPES = (
-    "AΑА BΒВ CϹС EΕЕ GԌ HΗН IΙІӀ JͿЈ KΚК MΜМ NΝ OΟОՕ PΡР QԚ SЅ TΤТ WԜ XΧХ YΥҮ ZΖ "
-    "aаɑ cϲс dԁ eе gɡ hһ iі jϳј oοоօ pр qԛ sѕ vνѵ wԝ xх yу lӏ ΓГ ΠП ΦФ "
+    "AΑАᎪꓮⲀ BΒВᏴꓐⲂ CϹСᏟꓚⲤ DᎠꓓ EΕЕᎬꓰ FϜꓝ GԌᏀꓖ HΗНᎻꓧⲎ IΙІӀꓲⲒ JͿЈᎫꓙ KΚКᏦꓗⲔ LᏞꓡ MΜМᎷꓟⲘ NΝꓠⲚ OΟОՕꓳⲞ PΡРᏢꓑⲢ QԚ RᎡꓣ SЅՏᏚꓢ TΤТᎢꓔⲦ "
+    "UՍꓴ VᏙꓦѴ WԜᎳꓪ XΧХꓫⲬ YΥҮꓬⲨ ZΖᏃꓜ "
+    "aа cϲсⲥ dԁ eе gɡց hһհ iі jϳј nո oοоօⲟ pрⲣ qԛզ sѕ uս vνѵ wԝ xхⲭ yу lӏ ΓГⲄ ΠПⲠ ΦФⲪ ΛЛ "
     "口ロ 工エ 力カ 二ニ 卜ト 夕タ 八ハ 三ミ"
 ).split()
+# Letters that look like one of several shapes, by the first letter of each.
+EITHER = {"ɑ": "aα", "ĸ": "κк"}
 HYPHENS = "‐‑‒⁃˗−﹣－֊᠆"
 #: Compatibility forms that look different from their plain letter.
 APART = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>")
@@ -32,6 +37,8 @@ APART = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>")
 SCRIPT_PRICE = -6.0
 
 _CLASS = {c: s for s in SHAPES for c in s}
+#: What a shape may stand for.
+_READINGS = _CLASS | {c: "".join(_CLASS.get(x, x) for x in xs) for c, xs in EITHER.items()}
 
 
 def script(c: str) -> str:
@@ -70,6 +77,11 @@ def shape(token: str) -> str:
     return "".join(_CLASS.get(c, c)[0] for c in token)
 
 
+def bucket(c: str) -> str:
+    """A letter as the model counts it: ideographs without a look-alike are one, which bounds the model by the alphabets."""
+    return "㐀" if c not in _READINGS and ("㐀" <= c <= "鿿" or c > "\uffff") else c
+
+
 class Lattice:
     """Viterbi over look-alike letters, under bigram counts {(a, b): n} of the texts' own letters."""
 
@@ -81,7 +93,8 @@ class Lattice:
         self.best = lru_cache(maxsize=500_000)(self._best)
 
     def _step(self, a: str, b: str) -> float:
-        score = math.log((self.counts.get((a, b), 0) + 0.1) / (self.total.get(a, 0) + 100))
+        left, right = bucket(a), bucket(b)
+        score = math.log((self.counts.get((left, right), 0) + 0.1) / (self.total.get(left, 0) + 100))
         x, y = script(a), script(b)
         return score + (SCRIPT_PRICE if x and y and x != y else 0.0)
 
@@ -89,7 +102,7 @@ class Lattice:
         """The best path of a token given by its shapes; ties go to the class's first letter."""
         paths = {"^": (0.0, "")}
         for c in token:
-            paths = {y: max(((s + self._step(x, y), p + y) for x, (s, p) in paths.items()), key=lambda t: t[0]) for y in _CLASS.get(c, c)}
+            paths = {y: max(((s + self._step(x, y), p + y) for x, (s, p) in paths.items()), key=lambda t: t[0]) for y in _READINGS.get(c, c)}
         return max(paths.items(), key=lambda t: t[1][0])[1][1]
 
     def form(self, text: str | None) -> str:
@@ -106,13 +119,19 @@ class Lattice:
 
 
 def bigrams(texts: DataFrame, columns: list[str]) -> dict[tuple[str, str], int]:
-    """Counts of neighbouring letters over all texts. Only pairs that touch a look-alike letter matter to a path, so at most
-    one row per such pair comes to the driver: a bound given by the alphabet, not by the data's size."""
-    letters = "".join(_CLASS)
+    """Counts of neighbouring letters over all texts, in their compatible form. Only pairs that touch a letter with look-alikes
+    matter to a path, so at most one row per such pair comes to the driver: a bound given by the alphabets (see `bucket`), not
+    by the data's size."""
+
+    @F.pandas_udf("string")
+    def plain(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: "".join(map(bucket, compatible(w))))
+
     words = texts.select(F.explode(F.split(F.concat_ws(" ", *columns), r"[\s\-]+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = words.select("n", F.explode(F.split(plain("w"), "[ -]+")).alias("w"))
     w = F.concat(F.lit("^"), F.col("w"))
     pairs = words.where("length(w) > 0").select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).alias("p"))
-    counted = pairs.where(F.length(F.translate("p", letters, "")) < 2).groupBy("p").agg(F.sum("n").alias("n"))
+    counted = pairs.where(F.length(F.translate("p", "".join(_READINGS), "")) < 2).groupBy("p").agg(F.sum("n").alias("n"))
     return {(r.p[0], r.p[1]): r.n for r in counted.toLocalIterator()}
 
 
@@ -133,15 +152,17 @@ def consistent(df: DataFrame, columns: list[str], suffix: str = "_form") -> Data
 
 def lookalike_pairs(corpus: DataFrame) -> DataFrame:
     """(term_id_1, term_id_2): rows of one file and field that look alike in en and zh but differ in their characters in either.
-    Null counts as empty text. Rows written exactly alike are one class; classes of a look are joined, then their rows."""
+    Null counts as empty text; a null file or field is one of its own. Rows written exactly alike are one class; the classes of
+    a look are paired, then give way to their rows, the smaller class first, so that no join pairs rows that differ in nothing."""
     rows = corpus.select("term_id", "file_name", "field", F.coalesce("en", F.lit("")).alias("en"), F.coalesce("zh", F.lit("")).alias("zh")).where("term_id is not null")
-    formed = consistent(rows, ["en", "zh"])
-    keyed = stage(formed.select("term_id", F.xxhash64("en", "zh").alias("raw"), "en", "zh", F.struct("file_name", "field", "en_form", "zh_form").alias("look")), "looks")
-    keyed = keyed.withColumn("k", F.md5(F.to_json("look", {"ignoreNullFields": "false"})))
-    classes = keyed.groupBy("k", "en", "zh").agg(F.count("*").alias("rows"))
+    key = lambda *cs: F.unhex(F.md5(F.to_json(F.struct(*cs), {"ignoreNullFields": "false"})))
+    keyed = stage(consistent(rows, ["en", "zh"]).select("term_id", key("file_name", "field", "en_form", "zh_form").alias("k"), key("file_name", "field", "en", "zh").alias("c")), "looks")
+    classes = keyed.groupBy("k", "c").agg(F.count("*").alias("rows"))
     mixed = classes.groupBy("k").agg(F.count("*").alias("c"), F.sum("rows").alias("n")).where("c > 1").select("k", "n")
-    total = keyed.count()
-    some = stage(join_hot(keyed.select("term_id", "k", "en", "zh"), mixed, ["k"], "n", total), "alike")
-    a = some.select("k", F.col("term_id").alias("term_id_1"), F.col("en").alias("e1"), F.col("zh").alias("z1"))
-    b = some.select("k", F.col("term_id").alias("term_id_2"), F.col("en").alias("e2"), F.col("zh").alias("z2"))
-    return a.join(b, "k").where((F.col("term_id_1") < F.col("term_id_2")) & ((F.col("e1") != F.col("e2")) | (F.col("z1") != F.col("z2")))).select("term_id_1", "term_id_2").distinct()
+    some = stage(join_hot(keyed, mixed, ["k"], "n", keyed.count()).select("term_id", "k", "c"), "alike")
+    sizes = some.groupBy("k", "c").agg(F.count("*").alias("n"))
+    a, b = sizes.select("k", F.struct("n", "c").alias("a")), sizes.select("k", F.struct("n", "c").alias("b"))
+    pairs = a.join(b, "k").where(F.col("a") < F.col("b")).select(F.col("a.c").alias("c1"), F.col("b.c").alias("c2"))
+    one = join_split(pairs, some.select(F.col("c").alias("c1"), F.col("term_id").alias("t1")), ["c1"]).select("c2", "t1")
+    both = join_split(one, some.select(F.col("c").alias("c2"), F.col("term_id").alias("t2")), ["c2"]).where("t1 <> t2")
+    return both.select(F.least("t1", "t2").alias("term_id_1"), F.greatest("t1", "t2").alias("term_id_2")).distinct()

@@ -117,6 +117,34 @@ def test_lookalikes(spark):
     assert L.Lattice({}).form("x" * 5000) == "x" * 5000
 
 
+def test_forms_by_score(spark):
+    """Which letters a form is written in, and which shape an ambiguous letter has, is decided by the texts' own bigrams."""
+    plain = ["рост сети", "рост ростка", "сор сор сора", "сор", "post office", "alpha gate", "αβγ law", "αβγδ", "ｒａｎｋ rank", "口号", "エロ"]
+    mixed = {"рocт": "рост", "cоp": "сор", "pоst": "post", "ɑlpha": "alpha", "ɑβγ": "αβγ", "аlphа": "alpha", "ｐｏｓｔ": "post", "ロ号": "口号", "エ口": "エロ", "na\u200bïve": "naïve"}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(plain * 5 + list(mixed))], "term_id long, en string")
+    got = {r.en: r.en_form for r in L.consistent(df, ["en"]).collect()}
+    assert {t: got[t] for t in mixed} == mixed
+    assert all(got[t] == L.compatible(t) for t in plain)
+    # without the counts of the texts a form follows the first letter of each shape, and this Cyrillic word is lost
+    assert L.Lattice({}).form("сор") == "cop"
+
+
+def test_an_ambiguous_letter_meets_one_shape(spark):
+    """ɑ looks like a and like α, which don't look like each other: the path decides what it meets. A skeleton that joins all
+    letters that resemble it, or none, fails here."""
+    s = [(i, "f", "x", t, "词") for i, t in enumerate(["alpha", "ɑlpha", "αlpha", "αβγ", "ɑβγ", "aβγ"])]
+    s += [(10 + i, "g", "y", t, "词") for i, t in enumerate(["alpha law", "alphabet", "αβγδ", "αβ"] * 3)]
+    df = spark.createDataFrame(s, "term_id long, file_name string, field string, en string, zh string")
+    assert sorted(tuple(r) for r in L.lookalike_pairs(df).collect()) == [(0, 1), (3, 4)]
+
+
+def test_a_look_with_many_equal_rows(spark):
+    """One variant beside 30,000 rows written alike gives 30,000 pairs, and the equal rows are never paired."""
+    df = spark.range(30_001).select(F.col("id").alias("term_id"), F.lit("f").alias("file_name"), F.lit("x").alias("field"), F.when(F.col("id") == 7, "pоst").otherwise("post").alias("en"), F.lit("z").alias("zh"))
+    got = L.lookalike_pairs(df)
+    assert got.count() == 30_000 and got.where("term_id_1 <> 7 and term_id_2 <> 7").count() == 0
+
+
 def test_consensus():
     won, best = C.consensus(["a b c", "a b d", "a x d"], [1, 1, 1])
     assert won == ["a", " ", "b", " ", "d"] and best == 1
