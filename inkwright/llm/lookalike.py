@@ -127,11 +127,12 @@ def bigrams(texts: DataFrame, columns: list[str]) -> dict[tuple[str, str], int]:
     def plain(words: pd.Series) -> pd.Series:
         return words.map(lambda w: "".join(map(bucket, compatible(w))))
 
+    letters = "".join(sorted({*_READINGS, *"".join(_READINGS.values())}))
     words = texts.select(F.explode(F.split(F.concat_ws(" ", *columns), r"[\s\-]+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     words = words.select("n", F.explode(F.split(plain("w"), "[ -]+")).alias("w"))
     w = F.concat(F.lit("^"), F.col("w"))
     pairs = words.where("length(w) > 0").select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).alias("p"))
-    counted = pairs.where(F.length(F.translate("p", "".join(_READINGS), "")) < 2).groupBy("p").agg(F.sum("n").alias("n"))
+    counted = pairs.where(F.length(F.translate("p", letters, "")) < 2).groupBy("p").agg(F.sum("n").alias("n"))
     return {(r.p[0], r.p[1]): r.n for r in counted.toLocalIterator()}
 
 
