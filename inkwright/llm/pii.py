@@ -2,7 +2,8 @@
 
 Everything is done for a batch of texts at once: characters are cut into tokens by class masks, tokens become numbers, the
 scores of a token's labels are sums of rows of small tables (its own and its neighbours' word, shape, ending), and Viterbi
-steps through the n-th token of all texts together. The model is fitted on the driver from the labelled table of
+steps through the n-th token of all sequences together. A text is cut into sequences at tokens that no value can hold, such as
+the end of a paragraph, so that long texts take few steps. The model is fitted on the driver from the labelled table of
 `pii_table`, whose size is a parameter, and goes to the tasks as a few arrays.
 """
 
@@ -18,18 +19,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwright.llm.pii_table import KINDS, labelled
+from inkwright.llm.pii_table import CUE_NAMES, CUES, HAN_CUES, HAN_FAMILY, KINDS, PARTICLES, labelled
 
 #: Passages of the labelled table, its seed, rounds of fitting, step.
-TABLE, SEED, ROUNDS, STEP = 2400, 11, 45, 0.12
+TABLE, SEED, ROUNDS, STEP = 8000, 11, 12, 0.05
+#: Weight of the quadratic penalty, which keeps rare words from deciding alone.
+PENALTY = 2.0
+#: How far values are preferred to none in a close case; the exact checks then refuse what can't be one.
+LEAN = 0.1
+#: Shares in which the table goes by.
+SHARES = 8
+#: The share of words shown to the fit by their form only.
+HIDDEN = 0.35
 LABELS = ["O"] + [p + k for k in KINDS for p in ("B", "I")]
-REACH = 3
+REACH = 4
 #: Characters tagged at once.
 BLOCK = 3_000_000
 
 LETTER, HAN, DIGIT, LINE, SPACE, NONE, SIGN = range(1, 8)
 
 
+#: Signs that no value holds; they end a sequence.
+_STOPS = np.array([ord(c) for c in "。！？!?=≤≥∑∈→|\\^~*;；“”\"⟦⟧"], np.uint32)
+
+
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
     out = np.full(0x110000, SIGN, np.uint8)
@@ -52,6 +65,15 @@ def _classes() -> np.ndarray:
     return out
 
 
+_HAN_FAMILY = frozenset(HAN_FAMILY)
+_CUES = {w: k for k, ws in CUES.items() for w in ws.split()}
+_PAIRS = sorted((ord(w[0]) << 32 | ord(w[1]), CUE_NAMES.index(k)) for k, ws in HAN_CUES.items() for w in ws.split())
+_PAIR, _PAIR_CUE = np.array([p for p, _ in _PAIRS], np.uint64), np.array([c for _, c in _PAIRS], np.uint64)
+
+
+_START = np.array([-1e4 if x[0] == "I" else 0 for x in LABELS], np.float32)
+
+
 class Tokens:
     """Tokens of a batch of texts: start and end in their text, text number, key. Spaces are none, but leave a mark on the
     token behind them; characters without width vanish, within tokens too; one line break or several are one token."""
@@ -79,28 +101,74 @@ class Tokens:
         gap = np.zeros(len(first), bool)
         if len(first) > 1:
             gap[1:] = (kind[first[:-1]] == SPACE) & (of[first[1:]] == of[first[:-1]])
-        key = np.where(kind[first] == LINE, np.uint64(1), key)
+        # a line break, with its carriage return, is one token, and an empty line another, whatever follows
+        broken = kind[first] == LINE
+        feeds = np.add.reduceat((codes == 10).astype(np.int64), first) if n else first
+        paragraph = broken & (feeds > 1)
+        key = np.where(broken, np.where(paragraph, np.uint64(2), np.uint64(1)), key)
+        single = codes[first] if n else codes
+        stop = paragraph | np.isin(single, _STOPS)
         self.first, self.length, self.gap = first[kept], length[kept], gap[kept]
         self.kind, self.of = kind[first][kept], of[first][kept]
         self.start, self.end = where[self.first], where[self.first + self.length - 1] + 1
         self.key, self.codes = key[kept], codes
+        # the cue that a Chinese character completes with the one before it
+        lead = codes[self.first].astype(np.uint64)
+        pair = np.zeros(len(lead), np.uint64)
+        if len(lead) > 1:
+            pair[1:] = np.where((self.kind[1:] == HAN) & (self.kind[:-1] == HAN) & (self.of[1:] == self.of[:-1]), lead[:-1] << np.uint64(32) | lead[1:], 0)
+        near = np.minimum(np.searchsorted(_PAIR, pair), len(_PAIR) - 1)
+        self.cue = np.where(_PAIR[near] == pair, _PAIR_CUE[near], 0).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            self.type = (self.key * np.uint64(2) + self.gap.astype(np.uint64)) * np.uint64(16) + self.cue
+        # the sequence of each token: a new one behind a token that ends one, and in each text
+        self.stop = stop[kept]
+        new = np.zeros(len(self.key), np.int64)
+        if len(new) > 1:
+            new[1:] = (self.of[1:] != self.of[:-1]) | self.stop[:-1]
+        self.seq = np.cumsum(new)
 
     def word(self, i: int) -> str:
         a = self.first[i]
         return self.codes[a : a + self.length[i]].astype("<u4").tobytes().decode("utf-32-le", "replace")
 
 
-SHAPES = ["none", "line", "Xx", "XX", "X", "x", "x1", "han", "d1", "d2", "d3", "d4", "d5", "d6", "d7", "d8", "d9+", ".", ",", "-", "@", "(", ")", "+", "/", ":", "sign", "other"]
+SHAPES = ["none", "line", "Xx", "XX", "X", "x", "x1", "han", "d1", "d2", "d3", "d4", "d5", "d6", "d7", "d8", "d9", "d10", "d11", "d12", "d15-", "d17", "d18", "d19+", ".", ",", "-", "@", "(", ")", "+", "/", ":", "sign", "other"]
 _SHAPE = {s: i for i, s in enumerate(SHAPES)}
 
 
+# Coarse shapes, of which four neighbours make one feature.
+_KINDS = {"none": 0, "line": 1, "Xx": 2, "XX": 3, "X": 4, "x": 5, "x1": 5, "han": 6, ".": 8, ",": 9, "-": 10}
+_COARSE = np.array([_KINDS.get(s, 7 if s[0] == "d" and s[1:2].isdigit() else 11) for s in SHAPES], np.int64)
+FOUR = 12**4
+
+
+def neighbours(shape: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each token the numbers of four features: its shape with the one before and with the one behind, and its coarse shape
+    with those of four neighbours around it, beginning two or one before it. Beyond its text a shape is 0."""
+    n = len(shape)
+
+    def at(d: int, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(n, np.int64)
+        a, b = max(0, -d), n - max(0, d)
+        if a < b:
+            out[a:b] = np.where(of[a:b] == of[a + d : b + d], values[a + d : b + d], 0)
+        return out
+
+    coarse, pair = _COARSE[shape], len(SHAPES) ** 2
+    back, ahead = at(-1, shape), at(1, shape)
+    four = [((at(d, coarse) * 12 + at(d + 1, coarse)) * 12 + at(d + 2, coarse)) * 12 + at(d + 3, coarse) for d in (-2, -1)]
+    return np.stack([back * len(SHAPES) + shape, pair + shape * len(SHAPES) + ahead, 2 * pair + four[0], 2 * pair + FOUR + four[1]])
+
+
 def shape_of(word: str, kind: int) -> int:
     if kind == LINE:
         return _SHAPE["line"]
     if kind == HAN:
         return _SHAPE["han"]
     if kind == DIGIT:
-        return _SHAPE["d9+" if len(word) > 8 else f"d{len(word)}"]
+        n = len(word)
+        return _SHAPE[f"d{n}" if n < 13 or n in (17, 18) else "d15-" if n < 17 else "d19+"]
     if kind == LETTER:
         if word.isupper():
             return _SHAPE["X" if len(word) == 1 else "XX"]
@@ -108,14 +176,26 @@ def shape_of(word: str, kind: int) -> int:
     return _SHAPE.get(word, _SHAPE["sign"])
 
 
-def word_features(word: str, kind: int, gap: bool) -> list[str]:
-    low = "\n" if kind == LINE else word.lower()
+def word_features(word: str, kind: int, gap: bool, cue: int = 0) -> list[str]:
+    low = ("\n\n" if word.count("\n") > 1 else "\n") if kind == LINE else word.lower()
     s = SHAPES[shape_of(word, kind)]
     out = [f"s={s}", f"g={s}{int(gap)}"]
     if kind != DIGIT:
-        out.append(f"w={low[:24]}")
+        out.append(f"w={low}")
+    else:
+        out.append(f"d={word[0]}{min(len(word), 19)}")
+        if len(word) == 4 and word[:2] in ("19", "20"):
+            out.append("year")
+        if len(word) in (17, 18) and word[6:8] in ("19", "20") and word[10:12] <= "12" and word[12:14] <= "31":
+            out.append("dated")
+    if cue or low in _CUES:
+        out.append(f"c={CUE_NAMES[cue] if cue else _CUES[low]}")
     if kind == LETTER and len(word) > 3:
-        out += [f"e={low[-3:]}", f"b={low[:2]}"]
+        out += [f"e={low[-3:]}", f"f={low[-2:]}", f"b={low[:2]}", f"n={min(len(word), 9)}"]
+        if not word.isascii():
+            out.append("marked")
+    elif kind == HAN:
+        out.append("family" if word in _HAN_FAMILY else "ideograph")
     return out
 
 
@@ -126,22 +206,22 @@ class Model:
         n, k = len(features), len(LABELS)
         self.features = features
         self.w = np.zeros((2 * REACH + 1, n, k), np.float32)
-        self.pair = np.zeros((2, len(SHAPES) ** 2, k), np.float32)
+        self.pair = np.zeros((2 * len(SHAPES) ** 2 + 2 * FOUR, k), np.float32)
         self.move = np.zeros((k, k), np.float32)
         for a, x in enumerate(LABELS):
             for b, y in enumerate(LABELS):
                 if y[0] == "I" and x[1:] != y[1:]:
                     self.move[a, b] = -1e4
+        self.lean = 0.0
         self.memo: dict[tuple[int, bool], tuple[np.ndarray, int]] = {}
 
     def rows(self, tok: Tokens) -> tuple[np.ndarray, list[list[int]], np.ndarray]:
         """The number of each token's type, the features of each type, and the shape of each token."""
-        mixed = tok.key * np.uint64(2) + tok.gap.astype(np.uint64)
-        _, some, inverse = np.unique(mixed, return_index=True, return_inverse=True)
+        _, some, inverse = np.unique(tok.type, return_index=True, return_inverse=True)
         feats, shapes = [], np.zeros(len(some), np.int64)
         for u, i in enumerate(some):
             word, kind = tok.word(i), int(tok.kind[i])
-            feats.append([self.features[f] for f in word_features(word, kind, bool(tok.gap[i])) if f in self.features])
+            feats.append([self.features[f] for f in word_features(word, kind, bool(tok.gap[i]), int(tok.cue[i])) if f in self.features])
             shapes[u] = shape_of(word, kind)
         return inverse, feats, shapes[inverse]
 
@@ -151,14 +231,13 @@ class Model:
         out = np.zeros((n, k), np.float32)
         if not n:
             return out
-        mixed = tok.key * np.uint64(2) + tok.gap.astype(np.uint64)
-        kinds, some, inverse = np.unique(mixed, return_index=True, return_inverse=True)
+        kinds, some, inverse = np.unique(tok.type, return_index=True, return_inverse=True)
         table, shapes = np.zeros((2 * REACH + 1, len(some), k), np.float32), np.zeros(len(some), np.int64)
         for u, i in enumerate(some):
             known = self.memo.get(int(kinds[u]))
             if known is None:
                 word, kind = tok.word(i), int(tok.kind[i])
-                ids = [self.features[f] for f in word_features(word, kind, bool(tok.gap[i])) if f in self.features]
+                ids = [self.features[f] for f in word_features(word, kind, bool(tok.gap[i]), int(tok.cue[i])) if f in self.features]
                 known = self.w[:, ids].sum(axis=1), shape_of(word, kind)
                 if len(self.memo) < 300_000:
                     self.memo[int(kinds[u])] = known
@@ -169,20 +248,15 @@ class Model:
             if a < b:
                 here = tok.of[a:b] == tok.of[a + d : b + d]
                 out[a:b] += table[d + REACH][inverse[a + d : b + d]] * here[:, None]
-        for d in (0, 1):
-            left = np.full(n, 0)
-            if n > 1:
-                near = tok.of[1:] == tok.of[:-1]
-                if d == 0:
-                    left[1:] = np.where(near, shape[:-1] * len(SHAPES) + shape[1:], 0)
-                else:
-                    left[:-1] = np.where(near, shape[:-1] * len(SHAPES) + shape[1:], 0)
-            out += self.pair[d][left]
+        for near in neighbours(shape, tok.of):
+            out += self.pair[near]
+        out[:, 0] -= self.lean
+        out[tok.stop, 1:] = -1e4
         return out
 
 
 def _steps(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each text's tokens begin and how many there are, longest first."""
+    """Where each sequence's tokens begin and how many there are, longest first."""
     begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     count = np.diff(np.append(begin, len(of)))
     order = np.argsort(-count, kind="stable")
@@ -190,15 +264,14 @@ def _steps(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def viterbi(scores: np.ndarray, of: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """The best labels of all texts; one step handles the n-th token of every text that has one."""
+    """The best labels of all sequences; one step handles the n-th token of every sequence that has one."""
     n, k = scores.shape
     labels = np.zeros(n, np.int8)
     if not n:
         return labels
     begin, count = _steps(of)
-    start = np.array([-1e4 if x[0] == "I" else 0 for x in LABELS], np.float32)
     back = np.zeros((n, k), np.int8)
-    state = scores[begin] + start
+    state = scores[begin] + _START
     finals = np.zeros((len(begin), k), np.float32)
     for t in range(1, int(count[0]) + 1):
         live = np.searchsorted(-count, -t, side="left")  # texts with more than t tokens
@@ -245,99 +318,154 @@ class _Sums:
         return out
 
 
-@lru_cache(maxsize=2)
-def fit(size: int = TABLE, seed: int = SEED, rounds: int = ROUNDS, step: float = STEP) -> Model:
-    """Weights that maximize the conditional likelihood of the labelled table, with a small quadratic penalty."""
-    rows = labelled(size, seed)
-    tok = Tokens([t for t, _ in rows])
-    y = _targets(tok, [s for _, s in rows])
-    mixed = tok.key * np.uint64(2) + tok.gap.astype(np.uint64)
-    _, some = np.unique(mixed, return_index=True)
-    names: dict[str, int] = {}
-    for i in some:
-        for f in word_features(tok.word(i), int(tok.kind[i]), bool(tok.gap[i])):
-            names.setdefault(f, len(names))
-    model = Model(names)
-    inverse, feats, shape = model.rows(tok)
-    k, n = len(LABELS), len(y)
-    flat = np.array([f for fs in feats for f in fs])
-    owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    each = np.concatenate([[0], np.cumsum([len(f) for f in feats])[:-1]])
-    by_feature, by_type = _Sums(flat, len(names)), _Sums(inverse, len(feats))
-    begin, count = _steps(tok.of)
-    fixed = model.move < -1e3
-    start = np.array([-1e4 if x[0] == "I" else 0 for x in LABELS], np.float32)
-    pairs = np.zeros((2, n), np.int64)
-    near = tok.of[1:] == tok.of[:-1]
-    pairs[0, 1:] = np.where(near, shape[:-1] * len(SHAPES) + shape[1:], 0)
-    pairs[1, :-1] = pairs[0, 1:]
-    onehot = np.zeros((n, k), np.float32)
-    onehot[np.arange(n), y] = 1
-    seen_move = np.zeros((k, k))
-    np.add.at(seen_move, (y[:-1][near], y[1:][near]), 1)
-    params = [model.w, model.pair, model.move]
-    m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    waves = [begin[: np.searchsorted(-count, -t, side="left")] + t for t in range(1, int(count[0]))]
-    by_pair = [_Sums(pairs[d], len(SHAPES) ** 2) for d in (0, 1)]
-    for it in range(1, rounds + 1):
-        tables = np.add.reduceat(model.w[:, flat], each, axis=1)
-        s = model.pair[0][pairs[0]] + model.pair[1][pairs[1]]
+class _Part:
+    """A share of the labelled table, with what one step of the fit over it needs."""
+
+    def __init__(self, model: Model, tok: Tokens, y: np.ndarray, hidden: np.ndarray):
+        k, n = len(LABELS), len(y)
+        self.tok, self.y, self.n = tok, y, n
+        inverse, feats, shape = model.rows(tok)
+        # a share of the words is known by its form only, so that the model also learns from what it can't know by heart
+        spelled = {i for f, i in model.features.items() if f[:2] in ("w=", "e=", "f=", "b=")}
+        self.inverse = inverse + hidden * len(feats)
+        feats = feats + [[f for f in fs if f not in spelled] for fs in feats]
+        flat = np.array([f for fs in feats for f in fs])
+        self.some, local = np.unique(flat, return_inverse=True)
+        self.local, self.owner = local, np.repeat(np.arange(len(feats)), [len(f) for f in feats])
+        self.each = np.concatenate([[0], np.cumsum([len(f) for f in feats])[:-1]])
+        self.by_feature, self.by_type = _Sums(local, len(self.some)), _Sums(self.inverse, len(feats))
+        self.chained = tok.seq[1:] == tok.seq[:-1]
+        self.shapes = neighbours(shape, tok.of)
+        self.by_shape = _Sums(self.shapes.ravel(), len(model.pair))
+        self.onehot = np.zeros((n, k), np.float32)
+        self.onehot[np.arange(n), y] = 1
+        self.seen = np.zeros((k, k))
+        np.add.at(self.seen, (y[:-1][self.chained], y[1:][self.chained]), 1)
+        self.begin, count = _steps(tok.seq)
+        self.waves = [self.begin[: np.searchsorted(-count, -t, side="left")] + t for t in range(1, int(count[0]))]
+
+    def windows(self):
+        """(distance, tokens, their neighbours, whether both are in one text)"""
         for d in range(-REACH, REACH + 1):
-            a, b = max(0, -d), n - max(0, d)
-            s[a:b] += tables[d + REACH][inverse[a + d : b + d]] * (tok.of[a:b] == tok.of[a + d : b + d])[:, None]
-        e, m = np.exp(s - s.max(axis=1, keepdims=True)), np.exp(model.move)
+            a, b = max(0, -d), self.n - max(0, d)
+            yield d, slice(a, b), slice(a + d, b + d), (self.tok.of[a:b] == self.tok.of[a + d : b + d])[:, None]
+
+    def gradient(self, model: Model) -> list[np.ndarray]:
+        """Of the log likelihood by the rows of `w` in use, by `pair` and by `move`: what is seen less what is expected."""
+        n, k = self.n, len(LABELS)
+        tables = np.add.reduceat(model.w[:, self.some][:, self.local], self.each, axis=1)
+        s = model.pair[self.shapes].sum(axis=0)
+        for d, here, there, inside in self.windows():
+            s[here] += tables[d + REACH][self.inverse[there]] * inside
+        s[self.tok.stop, 1:] = -1e4
+        e, m = np.exp(np.maximum(s - s.max(axis=1, keepdims=True), -30.0)), np.exp(model.move)
         alpha, beta, norm = np.zeros((n, k), np.float32), np.ones((n, k), np.float32), np.ones((n, 1), np.float32)
-        a = e[begin] * np.exp(start)
-        norm[begin] = a.sum(axis=1, keepdims=True)
-        alpha[begin] = a / norm[begin]
-        for at in waves:
+        a = e[self.begin] * np.exp(_START)
+        norm[self.begin] = a.sum(axis=1, keepdims=True) + 1e-30
+        alpha[self.begin] = a / norm[self.begin]
+        for at in self.waves:
             a = (alpha[at - 1] @ m) * e[at]
-            norm[at] = a.sum(axis=1, keepdims=True)
+            norm[at] = a.sum(axis=1, keepdims=True) + 1e-30
             alpha[at] = a / norm[at]
-        for at in waves[::-1]:
+        for at in self.waves[::-1]:
             beta[at - 1] = ((beta[at] * e[at]) @ m.T) / norm[at]
-        error = onehot - alpha * beta
-        g_move = seen_move - m * (alpha[:-1][near].T @ (e * beta / norm)[1:][near])
-        g_w, g_pair = np.zeros_like(model.w), np.zeros_like(model.pair)
-        for d in range(-REACH, REACH + 1):
-            a, b = max(0, -d), n - max(0, d)
+        error = self.onehot - alpha * beta
+        both = self.chained
+        g_move = self.seen - m * (alpha[:-1][both].T @ (e * beta / norm)[1:][both])
+        g_w = np.zeros((2 * REACH + 1, len(self.some), k), np.float32)
+        for d, here, there, inside in self.windows():
             moved = np.zeros_like(error)
-            moved[a + d : b + d] = error[a:b] * (tok.of[a:b] == tok.of[a + d : b + d])[:, None]
-            g_w[d + REACH] = by_feature(by_type(moved)[owner])
-        for d in (0, 1):
-            g_pair[d] = by_pair[d](error)
-        for j, (p, g) in enumerate(zip(params, (g_w, g_pair, g_move))):
-            g = g - 0.05 * np.where(np.abs(p) < 1e3, p, 0)
+            moved[there] = error[here] * inside
+            g_w[d + REACH] = self.by_feature(self.by_type(moved)[self.owner])
+        return [g_w, self.by_shape(np.tile(error, (4, 1))), g_move]
+
+
+@lru_cache(maxsize=2)
+def fit(size: int = TABLE, seed: int = SEED, rounds: int = ROUNDS, step: float = STEP, keep: tuple[int, ...] = (0,), parts: int = 1, penalty: float = PENALTY) -> Model:
+    """Weights that maximize the conditional likelihood of the labelled table, with a quadratic penalty; the table goes by in
+    SHARES a round. `keep` and `parts` choose the lines and names of the table, to hold some out."""
+    rows, r = labelled(size, seed, keep, parts), np.random.default_rng(seed)
+    names: dict[str, int] = {}
+    shares = []
+    for i in range(SHARES):
+        own = rows[i::SHARES]
+        tok = Tokens([t for t, _ in own])
+        shares.append((tok, _targets(tok, [s for _, s in own])))
+        for i in np.unique(tok.type, return_index=True)[1]:
+            for f in word_features(tok.word(i), int(tok.kind[i]), bool(tok.gap[i]), int(tok.cue[i])):
+                names.setdefault(f, len(names))
+    model = Model(names)
+    hide = lambda tok: r.random(len(tok.key)) < np.where(tok.kind == LETTER, HIDDEN, HIDDEN / 2) * ((tok.kind == LETTER) | (tok.kind == HAN))
+    own = [_Part(model, tok, y, hide(tok)) for tok, y in shares]
+    fixed = model.move < -1e3
+    params = [model.w, model.pair, model.move]
+    m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    steps = rounds * SHARES
+    for it in range(1, steps + 1):
+        part = own[(it - 1) % SHARES]
+        rate = step * (1 - 0.9 * it / steps)
+        for j, g in enumerate(part.gradient(model)):
+            p = params[j]
+            if j == 0:  # only the rows in use
+                rest = np.zeros_like(p)
+                rest[:, part.some] = g
+                g = rest
+            g = g - penalty / SHARES * np.where(np.abs(p) < 1e3, p, 0)
             m1[j] = 0.9 * m1[j] + 0.1 * g
             m2[j] = 0.99 * m2[j] + 0.01 * g * g
-            rate = step * (1 - 0.8 * it / rounds)
-            p += (rate * (m1[j] / (1 - 0.9**it)) / (np.sqrt(m2[j] / (1 - 0.99**it)) + 1e-6)).astype(np.float32)
+            p += (rate * (m1[j] / (1 - 0.9**it)) / (np.sqrt(m2[j] / (1 - 0.99**it)) + 1e-2)).astype(np.float32)
         model.move[fixed] = -1e4
+    model.lean = LEAN
     return model
 
 
-_AT = re.compile("[\\w.+\\-­​-‏⁠-⁤﻿]+" r"\s*(@|＠|\(at\)|\[at\]|\bat\b)", re.I)
+_NO_WIDTH = "\u00ad\u200b-\u200f\u2060-\u2064\ufeff"
+_PARTICLES = {w for p in PARTICLES for w in p.split()} | {"al", "la", "y", "e", "da", "dos", "zu", "der"}
+_GLUE = set(CUES["glue"].split()) - {"may", "will", "an", "le", "la", "so", "see", "do", "in", "on", "des"}
+_TITLE = re.compile(r"(?:(?:" + "|".join(CUES["title"].split()) + r")\b\.?\s+)+", re.I)
+# How mail addresses write their sign and their dots, and what names a road in Chinese.
+_PART = "[\\w.+\\-\u00ad\u200b-\u200f\u2060-\u2064\ufeff]+"
+_DOT = r"(?:\s*(?:\(dot\)|\[dot\]|\{dot\}|\bdot\b)\s*)"
+_SIGN = r"(?:@|＠|\(at\)|\[at\]|\{at\}|【at】|\[@\]|\(@\)|\(a\)|&#64;|\bat\b)"
+_MAIL = re.compile(rf"{_PART}(?:{_DOT}{_PART})*\s*{_SIGN}\s*(?:{_PART}{_DOT}{_PART}|[\w\-]+\.[\w\-])", re.I)
+_ROAD = re.compile(r"(路|街|道|巷|胡同|弄|里|村|园|号)\s*\d|\d\s*(号|弄|栋|室)")
+_DATE = re.compile(r"(19|20)\d\d[-./]\d\d?[-./]\d\d?(?!\d)")
+_STREET = re.compile(r"\d.*[^\W\d_]{2}|[^\W\d_]{2}.*\d", re.S)
 
 
 def _sound(kind: str, span: str) -> bool:
     """The exact check that follows: what no value of its kind can be."""
     digits = sum(c.isdigit() for c in span)
     if kind == "email":
-        return bool(_AT.search(span)) and len(span) > 5
+        return bool(_MAIL.search(span))
     if kind == "phone":
-        return 7 <= digits <= 16
+        return 7 <= digits <= 18 and not _DATE.match(span)
     if kind == "id_number":
         return 6 <= digits <= 18
     if kind == "address":
-        return digits > 0 and len(span) > 5
-    return len(span) >= 2 and not digits and (len(re.findall(r"[^\W\d_]+", span)) >= 2 or bool(re.fullmatch(r"[㐀-鿿\W]{2,8}", span)))
+        return digits > 0 and len(span) > 5 and bool((_ROAD if re.search("[㐀-鿿]", span) else _STREET).search(span))
+    return not digits and _is_name(span)
+
+
+def _is_name(span: str) -> bool:
+    """A Chinese name of two to five characters, none of them a function word; or at least two parts, of which one is a word with a
+    capital, and each a word with a capital, an initial with a point, or a particle."""
+    if re.search("[㐀-鿿]", span):
+        own = re.sub(r"[\W_]", "", span)
+        return bool(re.fullmatch("[㐀-鿿]{2,5}", own)) and not set(own) & set("的了是在和与及或被把让向从不也都")
+    parts = [p for p in re.split(r"[\s,]+", re.sub(f"[{_NO_WIDTH}]", "", span)) if p]
+    words = [p for p in parts if re.fullmatch(r"[^\W\d_]+(?:['’\-.][^\W\d_]+)*", p) and p[0].isupper() and len(p) > 1]
+    initials = [p for p in parts if re.fullmatch(r"(?:[^\W\d_a-z]\.-?)+", p)]
+    rest = [p for p in parts if p not in words and p not in initials]
+    plain = any(p.lower() in _GLUE or p.lower().rstrip(".") in _CUES and len(parts) < 3 and _CUES[p.lower().rstrip(".")] == "title" for p in words)
+    return bool(words) and len(words) + len(initials) >= 2 and len(parts) < 7 and all(p.lower() in _PARTICLES or p.islower() and len(p) < 4 for p in rest) and not plain and not re.search(r"-[^\W\d_]$", span)
 
 
 def tag(texts: list[str], model: Model) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) of each value in each text, in code points."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     tok = Tokens(texts)
-    labels = viterbi(model.scores(tok), tok.of, model.move)
+    labels = viterbi(model.scores(tok), tok.seq, model.move)
     begins = np.array([x[0] == "B" for x in LABELS])[labels]
     inner = np.array([x[0] == "I" for x in LABELS])[labels]
     at = np.flatnonzero(begins)
@@ -347,11 +475,29 @@ def tag(texts: list[str], model: Model) -> list[list[tuple[int, int, str]]]:
         t = int(tok.of[i])
         a, b = int(tok.start[i]), int(tok.end[j])
         kind = LABELS[labels[i]][1:]
-        if kind == "phone":  # a number starts at its plus sign or bracket
+        if kind == "phone":  # a number starts at its plus sign or bracket, and goes on to its last digit
+            while b > a and not texts[t][b - 1].isdigit():
+                b -= 1
+            while a and (texts[t][a - 1].isdigit() or a > 1 and texts[t][a - 1] in ".-/" and texts[t][a - 2].isdigit()):
+                a -= 1
             while a and texts[t][a - 1] in "+(（＋":
                 a -= 1
-        if kind == "email" and (m := _AT.search(texts[t], a, b)):
+        if kind == "email" and (m := _MAIL.search(texts[t], a, b)):
             a = m.start()
+            letter = lambda c: c.isalnum() and c < "\u2e80"
+            while a and (letter(texts[t][a - 1]) or a > 1 and texts[t][a - 1] in "._+-" and letter(texts[t][a - 2])):
+                a -= 1
+        if kind == "name":  # a title isn't part of it, the first half of a double name is
+            text = texts[t]
+            a += re.match(r"[\s.,:;)]*", text[a:b]).end()
+            if m := _TITLE.match(text, a, b):
+                a = m.end()
+            if a > 1 and text[a - 1] in "-’'" and text[a - 2].isalpha():
+                a -= 1
+                while a and text[a - 1].isalpha():
+                    a -= 1
+        elif kind in ("address", "id_number"):
+            a += re.match(r"[\s.,:;)：，]*", texts[t][a:b]).end()
         if _sound(kind, texts[t][a:b]):
             out[t].append((a, b, kind))
     return out
