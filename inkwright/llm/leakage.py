@@ -1,8 +1,12 @@
 """Test passages inside training text, by winnowing.
 
 Texts are sequences of words without case. Of every window of WINDOW neighbouring K-grams the one with the least hash is
-kept, so two texts that share a run of WINDOW + K - 1 words keep at least one K-gram of it in common. Fingerprints of
-documents and items are joined, and each document and item that meet are compared whole, word by word from the hits.
+kept, so two texts that share a run of WINDOW + K - 1 words keep at least one K-gram of it in common, at the same place of the
+run. A kept gram carries the words around it, as far as a run through it can reach, so that a hit is decided where it is met:
+the words of both sides are compared outward from the gram, and no text is read again.
+
+The grams of the items are held by every task while they are few (bytes are counted); the corpus then doesn't move. Beyond
+that, grams of both sides meet in a shuffle and carry their words with them.
 """
 
 from __future__ import annotations
@@ -14,12 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwright.operators.scale import small, stage
+from inkwright.operators.scale import join_split, stage
 
 #: Words in a run that counts; words in a gram; grams in a window, such that WINDOW + K - 1 = RUN.
 RUN, K = 12, 5
-#: Items up to this count are broadcast; more are joined by a shuffle.
-FEW_ITEMS = 20_000
+#: Items whose kept grams, with the words around them, take up to this many bytes are held by every task.
+HELD = 64 << 20
+#: Documents' characters looked at together.
+AT_ONCE = 2_000_000
 # Characters without width.
 NO_WIDTH = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -67,9 +73,9 @@ def _grams(h: np.ndarray, k: int) -> np.ndarray:
     return g
 
 
-def fingerprints(texts: list[str], k: int = K, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fingerprints(texts: list[str], k: int = K, run: int = RUN, hashed: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, word position, hash) of the kept grams. Ties keep the rightmost. Texts shorter than a run have none."""
-    h, count = word_hashes(texts)
+    h, count = hashed or word_hashes(texts)
     window = run - k + 1
     grams = _grams(h, k)
     n = len(grams) - window + 1
@@ -89,56 +95,87 @@ def fingerprints(texts: list[str], k: int = K, run: int = RUN) -> tuple[np.ndarr
     return of, kept - start[of], grams[kept]
 
 
-def longest_from(a: np.ndarray, b: np.ndarray, hits: list[tuple[int, int]], enough: int) -> int:
-    """The longest common run of words through any hit (position in a, position in b); stops at `enough`."""
-    best, seen = 0, {}
-    for i, j in sorted(hits):
-        if seen.get(i - j, -1) >= i:
-            continue
-        lo = 0
-        while lo < min(i, j) and a[i - lo - 1] == b[j - lo - 1]:
-            lo += 1
-        hi = 0
-        while i + hi < len(a) and j + hi < len(b) and a[i + hi] == b[j + hi]:
-            hi += 1
-        seen[i - j] = i + hi
-        best = max(best, lo + hi)
-        if best >= enough:
-            break
-    return best
-
-
-def _prints(df: DataFrame, key: str, pos: str, kind: str) -> DataFrame:
+def around(h: np.ndarray, text_of: np.ndarray, of: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
+    """The word hashes around each kept gram, `reach` to its left and right; 0 beyond the text's ends."""
+    width = 2 * reach + K
+    cols = at[:, None] + np.arange(-reach, width - reach)
+    inside = (cols >= 0) & (cols < len(h))
+    cols = np.clip(cols, 0, max(len(h) - 1, 0))
+    return np.where(inside & (text_of[cols] == of[:, None]), h[cols], np.uint64(0))
+
+
+def run_lengths(a: np.ndarray, b: np.ndarray, reach: int) -> np.ndarray:
+    """For each pair of surroundings, how many words in a row agree through the gram in the middle."""
+    same = (a == b) & (a != 0)
+    core = same[:, reach : len(a[0]) - reach].all(axis=1) if len(a) else np.zeros(0, bool)
+    left = np.cumprod(same[:, :reach][:, ::-1], axis=1).sum(axis=1) if reach else 0
+    right = np.cumprod(same[:, len(same[0]) - reach :], axis=1).sum(axis=1) if reach and len(a) else 0
+    return np.where(core, left + right + K, 0) if len(a) else np.zeros(0, np.int64)
+
+
+def kept_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, surroundings) of the kept grams of all texts."""
+    reach = RUN - K
+    h, count = word_hashes(texts)
+    of, at, grams = fingerprints(texts, hashed=(h, count))
+    start = np.concatenate([[0], np.cumsum(count)])
+    return of, grams, around(h, np.repeat(np.arange(len(texts)), count), of, at + start[of], reach)
+
+
+def _batches(p: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    size = p["text"].str.len().cumsum() // AT_ONCE  # few long texts at once
+    for _, q in p.groupby(size):
+        yield q
+
+
+def _gram_rows(df: DataFrame, key: str, kind: str, ctx: str) -> DataFrame:
+    """(key, gram, ctx): the kept grams of each text with the words around them, as bytes."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            size = p["text"].str.len().cumsum() // 2_000_000  # few long texts at once
-            for _, q in p.groupby(size):
-                of, at, h = fingerprints(q["text"].tolist())
-                yield pd.DataFrame({key: q[key].to_numpy()[of], pos: at.astype(np.int32), "gram": h.view(np.int64)})
+            for q in _batches(p):
+                of, grams, ctxs = kept_grams(q["text"].tolist())
+                yield pd.DataFrame({key: q[key].to_numpy()[of], "gram": grams.view(np.int64), ctx: [c.tobytes() for c in ctxs]})
 
-    return df.where(F.length("text") > 0).mapInPandas(run, f"`{key}` {kind}, `{pos}` int, gram long")
+    return df.where(F.length("text") > 0).mapInPandas(run, f"`{key}` {kind}, gram long, `{ctx}` binary")
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, few: int = FEW_ITEMS) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, held: int = HELD) -> DataFrame:
     """(doc_id, item_id): documents that hold at least RUN consecutive words of an item. Null and empty texts hold nothing;
     an item or document of fewer words than a run takes part in no pair; repeated ids give one pair."""
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     tests = items.select("item_id", "text").where("item_id is not null and text is not null")
     dk, ik = docs.schema["doc_id"].dataType.simpleString(), tests.schema["item_id"].dataType.simpleString()
-    wanted = stage(_prints(tests, "item_id", "j", ik).distinct(), "prints")
-    grams = small(wanted.select("gram").distinct(), few * 100)
-    # first the rare grams that occur in items at all, then the items that hold them
-    hits = _prints(docs, "doc_id", "i", dk).join(grams, "gram", "left_semi").join(small(wanted, few * 100), "gram")
-    pairs = stage(hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("i", "j")).alias("hits")), "hits")
-    found = docs.join(pairs, "doc_id").withColumnRenamed("text", "doc_text").join(small(tests.withColumnRenamed("text", "item_text"), few), "item_id")
-
-    def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            keep = []
-            for doc, item, hits in zip(p["doc_text"], p["item_text"], p["hits"]):
-                h, n = word_hashes([doc, item])
-                keep.append(longest_from(h[: n[0]], h[n[0] :], [(x["i"], x["j"]) for x in hits], RUN) >= RUN)
-            yield p.loc[keep, ["doc_id", "item_id"]]
-
-    out = found.select("doc_id", "item_id", "doc_text", "item_text", "hits").mapInPandas(verify, f"doc_id {dk}, item_id {ik}")
-    return out.distinct()
+    reach, width = RUN - K, 8 * (2 * (RUN - K) + K)
+    wanted = stage(_gram_rows(tests, "item_id", ik, "own").distinct(), "prints")
+    if wanted.count() * (width + 24) <= held:
+        rows = wanted.orderBy("gram").toPandas()  # within `held` bytes
+        shared = documents.sparkSession.sparkContext.broadcast((rows["gram"].to_numpy(np.int64), rows["item_id"].to_numpy(), np.frombuffer(b"".join(rows["own"]), np.uint64).reshape(len(rows), width // 8)))
+
+        def found(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            grams, ids, own = shared.value
+            for p in parts:
+                for q in _batches(p):
+                    of, kept, ctx = kept_grams(q["text"].tolist())
+                    kept = kept.view(np.int64)
+                    lo, hi = np.searchsorted(grams, kept, side="left"), np.searchsorted(grams, kept, side="right")
+                    out = set()
+                    hits, many = np.flatnonzero(hi > lo), (hi - lo)
+                    for part in np.array_split(hits, max(1, int(many[hits].sum()) // 200_000 + 1)) if len(hits) else []:  # bounds the pairs in memory
+                        one = np.repeat(part, many[part])
+                        two = np.arange(len(one)) - np.repeat(np.cumsum(many[part]) - many[part], many[part]) + np.repeat(lo[part], many[part])
+                        good = run_lengths(ctx[one], own[two], reach) >= RUN
+                        out |= set(zip(of[one[good]].tolist(), two[good].tolist()))
+                    pairs = sorted(out)
+                    yield pd.DataFrame({"doc_id": q["doc_id"].to_numpy()[[i for i, _ in pairs]], "item_id": ids[[j for _, j in pairs]]}).drop_duplicates()
+
+        return docs.where(F.length("text") > 0).mapInPandas(found, f"doc_id {dk}, item_id {ik}").distinct()
+
+    met = join_split(_gram_rows(docs, "doc_id", dk, "ctx"), wanted, ["gram"])
+
+    @F.pandas_udf("boolean")
+    def runs(ctx: pd.Series, own: pd.Series) -> pd.Series:
+        both = [np.frombuffer(b"".join(x), np.uint64).reshape(len(x), width // 8) for x in (ctx, own)]
+        return pd.Series(run_lengths(*both, reach) >= RUN)
+
+    return met.where(runs("ctx", "own")).select("doc_id", "item_id").distinct()

@@ -84,7 +84,7 @@ def test_leaks(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("gram", F.lit(1))
     it = spark.createDataFrame(items, "item_id long, text string").withColumn("hits", F.lit(1))
     assert {tuple(r) for r in leakage.leaked_items(df, it).collect()} == brute_leaks(docs, items)
-    assert {tuple(r) for r in leakage.leaked_items(df, it, few=0).collect()} == brute_leaks(docs, items)
+    assert {tuple(r) for r in leakage.leaked_items(df, it, held=0).collect()} == brute_leaks(docs, items)
     assert leakage.leaked_items(df.limit(0), it).count() == 0 and leakage.leaked_items(df, it.limit(0)).count() == 0
 
 
