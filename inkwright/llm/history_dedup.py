@@ -10,13 +10,15 @@ appends its segments. The hash of the content with the file size is a string tha
 
 from __future__ import annotations
 
+import json
 import math
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwright.operators.scale import scratch, stage
+from inkwright.functions.text import clean_hash
+from inkwright.operators.scale import join_split, scratch, stage
 
 #: A similarity of at least THRESHOLD counts; as a bound on the distance, d <= (n + m) * BOUND.
 THRESHOLD, BOUND = 0.8, 1 / 9
@@ -77,12 +79,6 @@ def _plans(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return F.broadcast(spark.createDataFrame(store, schema)), F.broadcast(spark.createDataFrame(probe, schema))
 
 
-def clean_hash(c: Column) -> Column:
-    """64 hex digits however written; null for a blank, all-zero or otherwise meaningless hash."""
-    h = F.regexp_replace(F.regexp_replace(F.lower(c), r"^\s*(sha-?256\s*[:=]?\s*|0x)", ""), r"[^0-9a-z]", "")
-    return F.when(h.rlike("^[0-9a-f]{64}$") & ~h.rlike("^0+$"), h)
-
-
 def sessions(df: DataFrame) -> DataFrame:
     """(id, ord, scope, hkey, dkey, digests) of upload sessions. hkey stands for scope, content and size, dkey for scope and
     set of digests; null where they say nothing."""
@@ -119,20 +115,6 @@ def _cells(sets: DataFrame, probe: bool) -> DataFrame:
     return by_pos.unionByName(by_range)
 
 
-def similar_sets(stored_cells: DataFrame, stored: DataFrame, new: DataFrame) -> DataFrame:
-    """(a, b): dkeys of different sets, a from `new` and b from either, whose edit distance is within the bound."""
-    cells = stored_cells.unionByName(_cells(new, False))
-    met = (
-        _cells(new, True).withColumnRenamed("dkey", "a").join(cells.withColumnRenamed("dkey", "b"), "cell")
-        .where(F.col("a") != F.col("b")).select("a", "b").distinct()
-    )
-    every = stored.unionByName(new)
-    one = new.select(F.col("dkey").alias("a"), F.col("digests").alias("da"))
-    two = every.dropDuplicates(["dkey"]).select(F.col("dkey").alias("b"), F.col("digests").alias("db"))
-    n, m, common = F.size("da"), F.size("db"), F.size(F.array_intersect("da", "db"))
-    return met.join(one, "a").join(two, "b").where((n + m - 2 * common) * 9 <= n + m).select("a", "b")
-
-
 def _accept(nodes: DataFrame, near: DataFrame) -> DataFrame:
     """nodes (hkey, dkey, ord) without a neighbour in the history; near (a, b), both ways. Those of them that are accepted:
     in order, each that no accepted one before it resembles. Rounds settle all nodes that wait for nobody."""
@@ -167,39 +149,116 @@ def _accept(nodes: DataFrame, near: DataFrame) -> DataFrame:
 
 
 class UploadHistory:
-    """The accepted sessions and their segment index, kept in the cluster's shared folder and grown by appending.
+    """The accepted sessions and their segment index: tables in one folder of the cluster's shared storage, split by a hash of the
+    key they are looked up by, grown by appending, and opened again by any later session.
 
     `feed(batch)` gives the pairs (repeat, accepted session it repeats) of one or more new batches and appends what they
-    bring. A batch reads the index but recomputes nothing of the history, and it may hold any number of batches: order is by
-    batch_no, created_at, id, nulls first, so that feeding them singly or together gives the same. Null or blank hashes and
-    lists say nothing; null digests within a list are left out; a session without scope repeats nothing.
+    bring. A batch reads only the splits that its own keys fall into, so a small batch costs the same beside any history; the
+    number of splits is chosen when the index is made, by its size. What a batch appends counts from one commit on, a file
+    written last; a crash before it leaves nothing behind that a reader sees. Order is by batch_no, created_at, id, nulls
+    first, so that feeding batches singly or together gives the same. Null or blank hashes and lists say nothing; null digests
+    within a list are left out; a session without scope repeats nothing.
     """
 
-    def __init__(self, accepted: DataFrame):
-        self.spark = accepted.sparkSession
-        self.at = {k: scratch(self.spark, f"history-{k}") for k in ("rows", "sets", "cells")}
+    #: What is stored, and the key by which it is split.
+    TABLES = {"cells": "cell", "sets": "dkey", "by_hash": "hkey", "by_set": "dkey"}
+    #: Rows of the index in a split, and the most splits.
+    SPLIT, MOST = 2_000_000, 4096
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        head = json.loads(spark.read.text(f"{self.path}/head.json", wholetext=True).first()[0])
+        self.splits, self.schemas = head["splits"], head["schemas"]
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> UploadHistory:
+        """The index that an earlier session made at `path`."""
+        return cls(spark, path)
+
+    @classmethod
+    def create(cls, accepted: DataFrame, path: str | None = None, split: int = SPLIT) -> UploadHistory:
+        """A new index of sessions that are accepted as they stand. Without `path` it lasts as long as the session."""
+        spark = accepted.sparkSession
+        path = path or scratch(spark, "history")
         rows = stage(sessions(accepted), "sessions")
-        self._append(rows.select("id", "ord", "hkey", "dkey"), rows.where("dkey is not null").select("dkey", "scope", "digests").dropDuplicates(["dkey"]))
-
-    def _append(self, rows: DataFrame, sets: DataFrame) -> None:
-        sets = stage(sets, "sets")
-        for k, df in (("rows", rows), ("sets", sets), ("cells", _cells(sets, False))):
-            df.write.mode("append").option("compression", "zstd").parquet(self.at[k])
-
-    def _read(self, k: str) -> DataFrame:
-        return self.spark.read.parquet(self.at[k])
+        sets = rows.where("dkey is not null").select("dkey", "scope", "digests").dropDuplicates(["dkey"])
+        tables = cls._tables(rows, stage(sets, "sets"))
+        splits = max(1, min(cls.MOST, math.ceil(tables["by_set"].count() * 8 / split)))
+        schemas = {k: df.schema.json() for k, df in tables.items()}
+        _write(spark, f"{path}/head.json", json.dumps({"splits": splits, "schemas": schemas}))
+        new = cls(spark, path)
+        new._append(tables)
+        return new
+
+    @staticmethod
+    def _tables(rows: DataFrame, sets: DataFrame) -> dict[str, DataFrame]:
+        return {
+            "cells": _cells(sets, False), "sets": sets,
+            "by_hash": rows.where("hkey is not null").select("hkey", "id", "ord"), "by_set": rows.where("dkey is not null").select("dkey", "id", "ord"),
+        }
+
+    def _split(self, key: str):
+        return F.pmod(F.xxhash64(key), F.lit(self.splits)).cast("int")
+
+    def _commits(self) -> list[int]:
+        return sorted(int(n) for n in _names(self.spark, f"{self.path}/commits"))
+
+    def _append(self, tables: dict[str, DataFrame]) -> None:
+        """Adds rows to every table; they count from the commit on. A part that a crash left behind is overwritten."""
+        n = max(self._commits(), default=-1) + 1
+        for k, df in tables.items():
+            df = df.withColumn("split", self._split(self.TABLES[k]))
+            df = df.repartition("split") if self.splits > 1 else df
+            df.write.mode("overwrite").option("compression", "zstd").partitionBy("split").parquet(f"{self.path}/{k}/part={n}")
+        _write(self.spark, f"{self.path}/commits/{n}", "")
+
+    def _read(self, k: str, keys: DataFrame) -> DataFrame:
+        """The rows of a table in the splits of `keys` (their numbers come to the driver: no more than MOST). A batch with at least
+        as many keys as there are splits reads all of them."""
+        from pyspark.sql.types import IntegerType, StructType
+
+        key = self.TABLES[k]
+        schema = StructType.fromJson(json.loads(self.schemas[k]))
+        paths = [f"{self.path}/{k}/part={n}" for n in self._commits()]
+        df = self.spark.read.schema(StructType(schema.fields).add("part", IntegerType()).add("split", IntegerType())).option("basePath", f"{self.path}/{k}").parquet(*paths).drop("part")
+        if self.splits > 1 and keys.limit(self.splits).count() < self.splits:
+            some = [r[0] for r in keys.select(self._split(key).alias("s")).distinct().collect() if r[0] is not None]
+            df = df.where(F.col("split").isin(some))
+        return df.drop("split")
+
+    def _known(self, k: str, keys: DataFrame) -> DataFrame:
+        """The rows of a table with one of `keys`."""
+        key = self.TABLES[k]
+        keys = keys.select(key).where(f"{key} is not null").distinct()
+        return self._read(k, keys).join(keys, key, "left_semi")
+
+    def similar(self, sets: DataFrame) -> DataFrame:
+        """(a, b): dkeys of different sets, a from `sets` (new ones) and b from these or the index, whose edit distance is within
+        the bound."""
+        probes = _cells(sets, True).withColumnRenamed("dkey", "a")
+        small = self.splits > 1 and sets.limit(self.splits).count() < self.splits  # then the splits are looked up, else all are read
+        probes = stage(probes, "probes") if small else probes
+        cells = self._read("cells", probes if small else sets.withColumn("cell", F.lit(0))).unionByName(_cells(sets, False)).withColumnRenamed("dkey", "b")
+        met = stage(probes.join(cells, "cell").where(F.col("a") != F.col("b")).select("a", "b").distinct(), "met")
+        every = self._known("sets", met.select(F.col("b").alias("dkey"))).unionByName(sets).dropDuplicates(["dkey"])
+        one = sets.select(F.col("dkey").alias("a"), F.col("digests").alias("da"))
+        two = every.select(F.col("dkey").alias("b"), F.col("digests").alias("db"))
+        n, m, common = F.size("da"), F.size("db"), F.size(F.array_intersect("da", "db"))
+        return met.join(one, "a").join(two, "b").where((n + m - 2 * common) * 9 <= n + m).select("a", "b")
 
     def feed(self, batch: DataFrame) -> DataFrame:
         """(repeat_id, kept_id) of the batch, and its accepted sessions appended."""
-        old, old_sets = self._read("rows"), self._read("sets")
         rows = stage(sessions(batch), "sessions")
         sets = stage(rows.where("dkey is not null").select("dkey", "scope", "digests").dropDuplicates(["dkey"]), "sets")
-        near = similar_sets(self._read("cells"), old_sets, sets)
+        near = self.similar(sets)
         near = stage(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near")
+        # of the history, only what the batch meets
+        old_h = stage(self._known("by_hash", rows.select("hkey")), "past").withColumnRenamed("hkey", "key")
+        old_d = stage(self._known("by_set", rows.select("dkey").unionByName(near.select(F.col("b").alias("dkey")))), "past").withColumnRenamed("dkey", "key")
 
         nodes = rows.groupBy("hkey", "dkey").agg(F.min("ord").alias("ord"))
-        past_h = old.where("hkey is not null").select("hkey").distinct()
-        past_d = old.where("dkey is not null").select("dkey").distinct()
+        past_h = old_h.select(F.col("key").alias("hkey")).distinct()
+        past_d = old_d.select(F.col("key").alias("dkey")).distinct()
         past_n = near.join(past_d.withColumnRenamed("dkey", "b"), "b", "left_semi").select(F.col("a").alias("dkey")).distinct()
         fresh = nodes.join(past_h, "hkey", "left_anti").join(past_d.unionByName(past_n).distinct(), "dkey", "left_anti")
         # sessions about which nothing is known are all accepted
@@ -207,17 +266,16 @@ class UploadHistory:
         fresh = fresh.where("hkey is not null or dkey is not null")
         taken = stage(_accept(fresh, near).unionByName(silent), "taken").withColumn("id", F.col("ord.id"))
 
-        repeats = rows.join(taken.select("id"), "id", "left_anti").select("id", "ord", "hkey", "dkey")
-        kept = old.unionByName(taken.select("id", "ord", "hkey", "dkey")).select(F.col("id").alias("kept_id"), F.col("ord").alias("kept_ord"), F.col("hkey").alias("kh"), F.col("dkey").alias("kd"))
-        links = near.select(F.col("a").alias("dkey"), F.col("b").alias("kd")).join(repeats.where("dkey is not null").select("dkey").distinct(), "dkey", "left_semi")
-        out = (
-            repeats.join(kept, F.col("hkey") == F.col("kh")).select("id", "kept_id", "ord", "kept_ord")
-            .unionByName(repeats.join(kept, F.col("dkey") == F.col("kd")).select("id", "kept_id", "ord", "kept_ord"))
-            .unionByName(repeats.join(links, "dkey").join(kept, "kd").select("id", "kept_id", "ord", "kept_ord"))
-            .where(F.col("kept_ord") < F.col("ord")).select(F.col("id").alias("repeat_id"), "kept_id").distinct()
-        )
-        out = stage(out, "pairs")
-        self._append(taken.select("id", "ord", "hkey", "dkey"), sets.join(taken.where("dkey is not null").select("dkey").distinct(), "dkey", "left_semi").join(past_d, "dkey", "left_anti"))
+        repeats = stage(rows.join(taken.select("id"), "id", "left_anti").select("id", "ord", "hkey", "dkey"), "repeats")
+        kept = lambda old, key: old.unionByName(taken.where(f"{key} is not null").select(F.col(key).alias("key"), "id", "ord")).select("key", F.col("id").alias("kept_id"), F.col("ord").alias("kept_ord"))
+        mine = lambda key: repeats.where(f"{key} is not null").select(F.col(key).alias("key"), "id", "ord")
+        links = near.join(repeats.select(F.col("dkey").alias("a")).where("a is not null").distinct(), "a", "left_semi")
+        linked = repeats.select(F.col("dkey").alias("a"), "id", "ord").join(links, "a").select(F.col("b").alias("key"), "id", "ord")
+        # of a key with many accepted sessions every repeat names all of them, so such keys are split
+        out = join_split(mine("hkey"), kept(old_h, "hkey"), ["key"]).unionByName(join_split(mine("dkey").unionByName(linked), kept(old_d, "dkey"), ["key"]))
+        out = stage(out.where(F.col("kept_ord") < F.col("ord")).select(F.col("id").alias("repeat_id"), "kept_id").distinct(), "pairs")
+        new_sets = sets.join(taken.where("dkey is not null").select("dkey").distinct(), "dkey", "left_semi").join(past_d, "dkey", "left_anti")
+        self._append(self._tables(taken, stage(new_sets, "sets")))
         return out
 
 
@@ -226,5 +284,26 @@ def repeats_of_accepted(uploads: DataFrame, history_batch: int = 0) -> DataFrame
     `history_batch` are accepted as they stand; a null batch_no counts as history."""
     need = uploads.select("id", "batch_no", "created_at", "access_scope", "file_size", "content_sha256", "chunk_digests")
     past = F.coalesce(F.col("batch_no") <= history_batch, F.lit(True))
-    pairs = UploadHistory(need.where(past)).feed(need.where(~past))
+    pairs = UploadHistory.create(need.where(past)).feed(need.where(~past))
     return pairs.select(F.least("repeat_id", "kept_id").alias("upload_id_1"), F.greatest("repeat_id", "kept_id").alias("upload_id_2"))
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _write(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written whole under another name first; an existing one is an error, so that two writers can't both commit."""
+    fs, p = _fs(spark, path)
+    _, temp = _fs(spark, path + ".new")
+    out = fs.create(temp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(p) or not fs.rename(temp, p):
+        raise FileExistsError(path)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p) if not f.getPath().getName().endswith(".new")] if fs.exists(p) else []

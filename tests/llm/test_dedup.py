@@ -55,12 +55,44 @@ def test_history(spark, seed, n, longest):
 def test_batches_one_by_one(spark):
     rows = uploads(5, 120)
     df = spark.createDataFrame(rows, UP)
-    h, got = H.UploadHistory(df.where("batch_no = 0")), set()
+    h, got = H.UploadHistory.create(df.where("batch_no = 0")), set()
     for b in range(1, 5):
         got |= {tuple(sorted(r)) for r in h.feed(df.where(f"batch_no = {b}")).collect()}
     assert got == brute(rows)
 
 
+def test_an_index_lives_on(spark, tmp_path):
+    """Each batch is fed by another object that opens the folder; a part without its commit isn't seen."""
+    rows = uploads(6, 120)
+    df = spark.createDataFrame(rows, UP)
+    at = f"{tmp_path}/index"
+    H.UploadHistory.create(df.where("batch_no = 0"), at, split=50)
+    assert H.UploadHistory.open(spark, at).splits > 1
+    got = set()
+    for b in range(1, 5):
+        h = H.UploadHistory.open(spark, at)
+        n = max(h._commits()) + 1
+        df.select("id").write.parquet(f"{at}/cells/part={n}")  # what a crash left
+        got |= {tuple(sorted(r)) for r in h.feed(df.where(f"batch_no = {b}")).collect()}
+    assert got == brute(rows)
+    with pytest.raises(FileExistsError):
+        H._write(spark, f"{at}/commits/0", "")
+
+
+def test_a_batch_reads_only_its_splits(spark, tmp_path):
+    """Ten times the history, ten times the splits: a batch of one session reads no more rows."""
+    read = []
+    for times in (1, 10):
+        old = [(f"u{i:06}", 0, T0, "lab", i, f"{i + 1:064x}", [f"{i}-{k}" for k in range(6)], "x", 1) for i in range(1500 * times)]
+        h = H.UploadHistory.create(spark.createDataFrame(old, UP), f"{tmp_path}/{times}", split=400)
+        new = H.sessions(spark.createDataFrame([("v", 1, T0, "lab", 7, f"{8:064x}", ["7-0", "7-1", "7-2", "7-3", "7-4", "7-5"], "x", 1)], UP))
+        sets = new.select("dkey", "scope", "digests")
+        read.append([h._read("by_hash", new).count(), h._read("by_set", new).count(), h._read("cells", H._cells(sets, True)).count()])
+        assert h.splits == 30 * times
+        assert [tuple(r) for r in h.feed(spark.createDataFrame([("v", 1, T0, "lab", 9, None, ["7-0", "7-1", "7-2", "7-3", "7-4", "7-5"], "x", 1)], UP)).collect()] == [("v", "u000007")]
+    assert all(b <= 2 * a + 20 for a, b in zip(*read)) and max(read[1]) < 1500
+
+
 def test_history_empty(spark):
     assert H.repeats_of_accepted(spark.createDataFrame([], UP)).count() == 0
 
