@@ -52,7 +52,7 @@ def placeholders(c: Column) -> Column:
 
 def word_key(c: Column) -> Column:
     """A term without hyphens, spare spaces and case."""
-    return F.lower(F.trim(F.regexp_replace(F.replace(c, F.lit("-"), F.lit(" ")), r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(F.replace(c, F.lit("-"), F.lit(" ")), r"[\s\p{Z}]+", " ")))
 
 
 def duration(seconds: Column) -> Column:

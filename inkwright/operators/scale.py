@@ -34,6 +34,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none where there is no folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
 @atexit.register
 def release() -> None:
     """Deletes the tables that `stage` wrote."""

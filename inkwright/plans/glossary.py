@@ -11,7 +11,7 @@ from inkwright.sources.tables import table
 
 FLAT = """select lower(en) as en, arg_max(coalesce(zh, ''), (file_ord, field_ord, term_ord, term_id)) as zh,
   arg_min(term_id, (file_ord, field_ord, term_ord, term_id)) as first_id from corpus where en is not null group by 1"""
-KEY = "trim(regexp_replace(lower(replace({}, '-', ' ')), '\\s+', ' ', 'g'))"
+KEY = "trim(regexp_replace(lower(replace({}, '-', ' ')), '[\\s\\p{{Z}}]+', ' ', 'g'), ' ')"
 BOUND = "regexp_matches(low, '(^|[^A-Za-z0-9_])' || regexp_replace(en, '([\\\\.\\[\\]{{}}()*+?^$|-])', '\\\\\\1', 'g') || '(e?s)?([^A-Za-z0-9_]|$)')"
 PLAIN = "regexp_matches(en, '^[\\x00-\\x7f]+$') and regexp_matches(en, '^[A-Za-z0-9]') and regexp_matches(en, '[A-Za-z0-9]$')"
 
