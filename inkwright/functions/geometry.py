@@ -31,3 +31,9 @@ def risk(overall: Column, page: Column, zone: Column) -> Column:
         F.when((overall < 0.45) | (page < 0.35) | (zone < 0.20), "high")
         .when((overall < 0.72) | (page < 0.60) | (zone < 0.45), "medium").otherwise("low")
     )
+
+
+def near(margin: float) -> Column:
+    """Whether box (x0, y0, x1, y1) and box (gx0, gy0, gx1, gy1) meet, each with a margin; touching edges don't count."""
+    c = F.col
+    return (c("x0") - margin < c("gx1")) & (c("gx0") - margin < c("x1")) & (c("y0") - margin < c("gy1")) & (c("gy0") - margin < c("y1"))

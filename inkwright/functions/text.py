@@ -68,7 +68,7 @@ def duration(seconds: Column) -> Column:
 
 def last_eta(log: Column) -> Column:
     """Seconds of the last remaining time named in a log; null for none or zero."""
-    last = F.element_at(F.regexp_extract_all(log, F.lit(r"预计剩余\s*(?:\d+小时)?(?:\d+分)?(?:\d+秒)?"), F.lit(0)), -1)
+    last = F.try_element_at(F.regexp_extract_all(log, F.lit(r"预计剩余\s*(?:\d+小时)?(?:\d+分)?(?:\d+秒)?"), F.lit(0)), F.lit(-1))
     part = lambda unit: F.coalesce(F.nullif(F.regexp_extract(last, rf"(\d+){unit}", 1), F.lit("")).cast("long"), F.lit(0))
     return F.nullif(part("小时") * 3600 + part("分") * 60 + part("秒"), F.lit(0))
 
