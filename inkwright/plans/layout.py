@@ -103,7 +103,8 @@ def _anchors(lefts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda xs: anchor_clusters(xs, 100.0))
 
 
-@CORE.query("column_clusters")
+@CORE.query("column_clusters", f"""with recursive {SPANS}, l as (select distinct doc, round_even(x0 / 10, 0) * 10 as x from spans where x1 - x0 >= 72), a(doc, x) as (select doc, min(x) from l group by 1 union all select doc, x from (select a.doc, min(l.x) as x from a join l on l.doc = a.doc and l.x > a.x + 100 group by a.doc, a.x))
+select doc, string_agg(cast(cast(x as decimal(9, 1)) as varchar), ',' order by x) as anchors from a group by 1""")
 def column_clusters(spark, sf_dir):
     """The columns of a page: left edges of wide blocks, clustered from an anchor. Distinct edges of a page are bounded by its width."""
     wide = spans(spark, sf_dir).where("x1 - x0 >= 72").groupBy("doc").agg(F.collect_set(F.bround(F.col("x0") / 10) * 10).alias("lefts"))

@@ -71,7 +71,11 @@ def _batches(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: greedy_batches(x, ITEMS, CHARS))
 
 
-@CORE.query("unit_batches")
+@CORE.query("unit_batches", f"""with recursive l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null),
+s as (select doc_id, length(line) as size, row_number() over (partition by doc_id order by i) as n from l where line <> ''),
+r(doc_id, n, size, batch, items, chars) as (select doc_id, n, size, 0, 1, size from s where n = 1 union all select s.doc_id, s.n, s.size, case when r.items >= {ITEMS} or r.chars + s.size > {CHARS} then r.batch + 1 else r.batch end,
+  case when r.items >= {ITEMS} or r.chars + s.size > {CHARS} then 1 else r.items + 1 end, case when r.items >= {ITEMS} or r.chars + s.size > {CHARS} then s.size else r.chars + s.size end from r join s on s.doc_id = r.doc_id and s.n = r.n + 1)
+select doc_id, batch, count(*) as items, cast(sum(size) as bigint) as chars from r group by 1, 2""")
 def unit_batches(spark, sf_dir):
     """(doc_id, batch, items, chars): the lines of each text in batches bounded by items and characters."""
     d = docs(spark, sf_dir, "text").where("text is not null").select("doc_id", F.transform(F.filter(F.split("text", "\n"), lambda x: x != ""), F.length).alias("sizes")).where("size(sizes) > 0")
