@@ -1,3 +1,31 @@
-"""SQL that gives the same as a query of this subpackage, where SQL can say it over whole tables."""
+"""SQL that gives the same rows as the queries of this subpackage, where SQL can say them over whole tables."""
 
-SQL: dict[str, str] = {}
+LIST_LABELS = """pl as (select record_id, trim(payload, ' ') as p from term_records where payload is not null and record_id is not null),
+js as (select record_id, unnest(json_keys(p)) as label, p from pl where regexp_matches(p, '(?s)^\\{.*\\}$') and json_valid(p)), jp as (select record_id, label, json_extract_string(p, '$."' || replace(label, '"', '\\"') || '"') as value from js),
+sg as (select record_id, case when regexp_extract(p, '^[^:=|;]+([:=])', 1) = ':' then ':' else '=' end as sign, case when regexp_extract(p, '^[^:=|;]+([:=])', 1) = ':' then '|' else ';' end as bar, p from pl where not starts_with(p, '{') and regexp_matches(p, '^[^:=|;]+[:=]')),
+s1 as (select record_id, sign, bar, unnest(string_split(p, bar)) as part, generate_subscripts(string_split(p, bar), 1) as i from sg),
+s2 as (select *, case when i = 1 or regexp_matches(part, case when sign = ':' then '^[^:=|;]+:' else '^[^:=|;]+=' end) then 1 else 0 end as new from s1), s3 as (select *, sum(new) over (partition by record_id order by i) as g from s2),
+s4 as (select record_id, any_value(sign) as sign, array_to_string(list(part order by i), any_value(bar)) as pair from s3 group by record_id, g), tp as (select record_id, substr(pair, 1, strpos(pair, sign) - 1) as label, substr(pair, strpos(pair, sign) + 1) as value from s4),
+raw as (select record_id, label, value from jp union all select record_id, label, value from tp),
+nf as (select record_id, regexp_replace(replace(lower(upper(label)), 'ς', 'σ'), '[^\\p{L}\\p{N}]+', '', 'g') as label, regexp_replace(replace(lower(upper(coalesce(value, ''))), 'ς', 'σ'), '[^\\p{L}\\p{N}]+', '', 'g') as value from raw),
+rec as (select record_id, list_sort(list(label || chr(1) || value)) as fields from nf where value <> '' group by 1 having count(*) filter (label = 'field') > 0 and count(*) filter (label = 'en') > 0 and count(*) filter (label = 'zh') > 0),
+grp as (select record_id, min(record_id) over (partition by fields) as kept_id from rec)"""
+
+FILE_KEY = r"""nm as (select *, trim(regexp_replace(regexp_replace(replace(lower(upper(original_filename)), 'ς', 'σ'), '(%20|\+|_)', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g'), ' ') as n from papers where id is not null and access_scope is not null and file_size is not null and original_filename is not null),
+br as (select *, regexp_replace(regexp_replace(n, '(\s*\.\s*(pdf|ps|djvu|docx?|tex)|\s*[\s\-–]\s*(copy|kopie|copie)(\s*\(?\d{1,3}\)?)?|\s*\(\d{1,3}\)|\s*(的)?副本(\s*\(?\d{1,3}\)?)?)+$', ''), '^((copy|kopie|copie)( \(\d+\))? (of|von|de) )+', '') as bare from nm),
+k as (select *, case when regexp_replace(bare, '[^\p{L}\p{N}]', '', 'g') = '' then regexp_replace(n, '\s', '', 'g') else regexp_replace(bare, '[^\p{L}\p{N}]', '', 'g') end as k from br),
+m as (select *, min(id) over (partition by access_scope, file_size, k) as group_id, count(*) over (partition by access_scope, file_size, k) as rows from k),
+t as (select *, case when updated_at is not null and updated_at < timestamp '2027-01-01' and not coalesce(updated_at < created_at, false) then epoch_us(updated_at) end as trusted from m where rows > 1),
+fl as (select * from t where lower(trim(regexp_replace(coalesce(translated_filename, ''), '[\s\p{Z}]+', ' ', 'g'), ' ')) not in ('', 'n/a', 'na', 'null', 'none', 'nil', '-', '--', 'undefined', 'unknown', 'tbd', '?', 'nan')),
+st as (select group_id, first(id order by trusted desc nulls last, id) as status_id, first(id order by created_at nulls last, id) as name_id from t group by 1), fi as (select group_id, first(id order by trusted desc nulls last, id) as file_id from fl group by 1)"""
+
+WORDS = r"""list_filter(string_split_regex(lower(nfc_normalize(regexp_replace(text, '[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}]', '', 'g'))), '[^\p{L}\p{N}]+'), lambda x: x <> '')"""
+
+SQL = {
+    "p2_found": f"with {LIST_LABELS} select kept_id, record_id from grp where kept_id <> record_id",
+    "p2_counts": f"with {LIST_LABELS} select kept_id, count(*) as copies from grp group by 1",
+    "p5_found": f"with {FILE_KEY} select group_id, status_id, coalesce(file_id, '') as file_id, name_id from st left join fi using (group_id)",
+    "p7_found": f"""with d as (select doc_id, {WORDS} as w from documents where doc_id is not null and text is not null), i as (select item_id, {WORDS} as w from eval_items where item_id is not null and text is not null),
+dg as (select doc_id, array_to_string(w[s:s + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as s from d where len(w) >= 12)), ig as (select distinct item_id, array_to_string(w[s:s + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as s from i where len(w) >= 12))
+select distinct doc_id, item_id from dg join ig using (g)""",
+}
