@@ -10,6 +10,7 @@ letters look like letters of two shapes; for these the best path decides which s
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,6 +37,7 @@ APART = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>")
 #: Log price of a change of script between neighbours in a token.
 SCRIPT_PRICE = -6.0
 
+_BETWEEN = re.compile("([ -])")
 _CLASS = {c: s for s in SHAPES for c in s}
 #: What a shape may stand for.
 _READINGS = _CLASS | {c: "".join(_CLASS.get(x, x) for x in xs) for c, xs in EITHER.items()}
@@ -69,6 +71,8 @@ def _char(c: str) -> str:
 
 def compatible(text: str) -> str:
     """Normalized for compatibility, marks apart from their letters and in their fixed order."""
+    if text.isascii() and text.isprintable():
+        return text
     return unicodedata.normalize("NFD", "".join(map(_char, text)))
 
 
@@ -91,6 +95,7 @@ class Lattice:
             total[a] = total.get(a, 0) + n
         self.counts, self.total = counts, total
         self.best = lru_cache(maxsize=500_000)(self._best)
+        self.known = lru_cache(maxsize=500_000)(self.word)
 
     def _step(self, a: str, b: str) -> float:
         left, right = bucket(a), bucket(b)
@@ -105,17 +110,17 @@ class Lattice:
             paths = {y: max(((s + self._step(x, y), p + y) for x, (s, p) in paths.items()), key=lambda t: t[0]) for y in _READINGS.get(c, c)}
         return max(paths.items(), key=lambda t: t[1][0])[1][1]
 
+    def word(self, token: str) -> str:
+        return self.best(shape(token)) if token else token
+
     def form(self, text: str | None) -> str:
         if not text:
             return ""
-        out, word = [], []
-        for c in compatible(text) + " ":
-            if c in " -":
-                out += [self.best(shape("".join(word))) if word else "", c]
-                word = []
-            else:
-                word.append(c)
-        return unicodedata.normalize("NFC", "".join(out[:-1]))
+        plain = compatible(text)
+        parts = _BETWEEN.split(plain)
+        parts[::2] = [self.known(w) for w in parts[::2]]
+        out = "".join(parts)
+        return out if out.isascii() else unicodedata.normalize("NFC", out)
 
 
 def bigrams(texts: DataFrame, columns: list[str]) -> dict[tuple[str, str], int]:
@@ -125,7 +130,7 @@ def bigrams(texts: DataFrame, columns: list[str]) -> dict[tuple[str, str], int]:
 
     @F.pandas_udf("string")
     def plain(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: "".join(map(bucket, compatible(w))))
+        return words.map(lambda w: w if w.isascii() and w.isprintable() else "".join(map(bucket, compatible(w))))
 
     letters = "".join(sorted({*_READINGS, *"".join(_READINGS.values())}))
     words = texts.select(F.explode(F.split(F.concat_ws(" ", *columns), r"[\s\-]+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
