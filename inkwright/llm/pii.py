@@ -19,14 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwright.llm.pii_table import CUE_NAMES, CUES, HAN_CUES, HAN_FAMILY, KINDS, PARTICLES, labelled
+from inkwright.llm.pii_table import CUE_NAMES, CUES, HAN_CUES, HAN_DOUBLE, HAN_FAMILY, KINDS, PARTICLES, labelled
 
 #: Passages of the labelled table, its seed, rounds of fitting, step.
-TABLE, SEED, ROUNDS, STEP = 8000, 11, 12, 0.05
+TABLE, SEED, ROUNDS, STEP = 8000, 11, 16, 0.05
 #: Weight of the quadratic penalty, which keeps rare words from deciding alone.
 PENALTY = 2.0
 #: How far values are preferred to none in a close case; the exact checks then refuse what can't be one.
-LEAN = 0.1
+LEAN = 0.3
 #: Shares in which the table goes by.
 SHARES = 8
 #: The share of words shown to the fit by their form only.
@@ -448,7 +448,7 @@ def _sound(kind: str, span: str) -> bool:
 
 
 def _is_name(span: str) -> bool:
-    """A Chinese name of two to five characters, none of them a function word; or at least two parts, of which one is a word with a
+    """A Chinese name of a family name and one or two characters, none of them a function word; or at least two parts, of which one is a word with a
     capital, and each a word with a capital, an initial with a point, or a particle."""
     if re.search("[㐀-鿿]", span):
         own = re.sub(r"[\W_]", "", span)
