@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,11 +13,6 @@ ANY_SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
 STOPWORDS = ["the", "and", "of", "to", "in", "is", "that", "for", "with", "on", "as", "by", "are", "from", "this", "which"]
 
 
-def escape_like(value: str) -> str:
-    """A value for LIKE with its wildcards taken literally."""
-    return value.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-
-
 def contains_ignoring_case(c: Column, value: str) -> Column:
     return F.lower(c).contains(value.lower())
 
@@ -136,8 +129,3 @@ def redact_error(c: Column, capped: bool = True) -> Column:
 def safe_id(c: Column) -> Column:
     """Letters, digits, underscores and hyphens; all else becomes an underscore."""
     return F.regexp_replace(c, r"[^\p{L}\p{N}_-]", "_")
-
-
-def term_pattern(term: str) -> str:
-    """A whole word or a simple plural of it."""
-    return rf"(^|[^A-Za-z0-9_]){re.escape(term)}(e?s)?([^A-Za-z0-9_]|$)"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwright.functions.text import CJK, term_pattern, word_key  # noqa: F401
+from inkwright.functions.text import word_key
 from inkwright.operators.scale import small
 
 ORDER = ["file_ord", "field_ord", "term_ord", "term_id"]
@@ -80,7 +80,7 @@ def lint_counts(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("field").agg(F.count("*").alias("terms"), F.count_if(blank).alias("blank"), F.count_if(~blank & (F.lower(en) == F.lower(zh))).alias("untranslated"))
 
 
-def match_terms(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame, word: str = WORD) -> DataFrame:
+def match_terms(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame, word: str = WORD, few: int = FEW_TERMS) -> DataFrame:
     """(id_col, and the columns of `terms`): terms that a text holds as whole words or a simple plural, case aside. Neither
     end of a term may touch another character of the class `word`. Any term that isn't blank counts, whatever its characters.
 
@@ -97,7 +97,12 @@ def match_terms(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame,
     ones = F.concat(F.array(F.lit("")), F.flatten(F.transform("ws", lambda w: F.array_compact(F.array(w, bare(w, "s"), bare(w, "es"))))))
     twos = F.zip_with("ws", F.expr("slice(ws, 2, size(ws))"), lambda a, b: F.concat_ws(" ", a, b))
     keys = own.select(id_col, "low", F.explode(F.array_distinct(F.concat(F.transform(ones, lambda k: F.struct(F.lit(False).alias("two"), k.alias("key"))), F.transform(twos, lambda k: F.struct(F.lit(True).alias("two"), k.alias("key")))))).alias("k")).select(id_col, "low", "k.two", "k.key")
-    met = keys.join(small(t, FEW_TERMS), ["two", "key"]).where(F.col("low").contains(F.col("en")))
+    held = small(t, few)
+    if held is not t:
+        met = keys.join(held, ["two", "key"])
+    else:  # many terms: only ids and keys meet in the shuffle, and each text moves once
+        met = keys.drop("low").join(t, ["two", "key"]).select(id_col, *cols).distinct().join(own.select(id_col, "low"), id_col)
+    met = met.where(F.col("low").contains(F.col("en")))
     escaped = F.regexp_replace("en", r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
     hit = F.expr("rlike(low, pattern)")
     return met.withColumn("pattern", F.concat(F.lit(f"(?<![{word}])"), escaped, F.lit(f"(e?s)?(?![{word}])"))).where(hit).select(id_col, *cols).distinct()

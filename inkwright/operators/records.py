@@ -12,6 +12,22 @@ from inkwright.operators.scale import bind, letters_digits
 REQUIRED = ("field", "en", "zh")
 
 
+# SQL that gives the (record_id, place, label, value) of the payloads of term_records, as payload_fields does, and the values of
+# each record, as record_values does.
+PAIRS_SQL = """pl as (select record_id, trim(payload, ' ') as p from term_records where payload is not null and record_id is not null),
+js as (select record_id, unnest(json_keys(p)) as label, generate_subscripts(json_keys(p), 1) as place, p from pl where regexp_matches(p, '(?s)^\\{.*\\}$') and json_valid(p)),
+jp as (select record_id, place, label, json_extract_string(p, '$."' || replace(label, '"', '\\"') || '"') as value from js),
+sg as (select record_id, case when regexp_extract(p, '^[^:=|;]+([:=])', 1) = ':' then ':' else '=' end as sign, case when regexp_extract(p, '^[^:=|;]+([:=])', 1) = ':' then '|' else ';' end as bar, p from pl where not starts_with(p, '{') and regexp_matches(p, '^[^:=|;]+[:=]')),
+s1 as (select record_id, sign, bar, unnest(string_split(p, bar)) as part, generate_subscripts(string_split(p, bar), 1) as i from sg),
+s2 as (select *, case when i = 1 or regexp_matches(part, case when sign = ':' then '^[^:=|;]+:' else '^[^:=|;]+=' end) then 1 else 0 end as new from s1), s3 as (select *, sum(new) over (partition by record_id order by i) as g from s2),
+s4a as (select record_id, g, any_value(sign) as sign, any_value(bar) as bar, list(part order by i) as parts from s3 group by record_id, g), s4 as (select record_id, g, sign, list_reduce(parts, lambda a, b: a || bar || b) as pair from s4a),
+tp as (select record_id, g as place, substr(pair, 1, strpos(pair, sign) - 1) as label, substr(pair, strpos(pair, sign) + 1) as value from s4), raw as (select record_id, place, label, value from jp union all select record_id, place, label, value from tp)"""
+NORMAL_SQL = "regexp_replace(replace(lower(upper({})), 'ς', 'σ'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+STRIP_SQL = "regexp_replace({0}, '^[\\s\\x0b\\p{{Z}}\\x1c-\\x1f\\x{{85}}]+|[\\s\\x0b\\p{{Z}}\\x1c-\\x1f\\x{{85}}]+$', '', 'g')"
+VALUES_SQL = f"""{PAIRS_SQL}, nv as (select record_id, place, {NORMAL_SQL.format('label')} as label, {STRIP_SQL.format('value')} as value from raw), fv as (select * from nv where value <> '' and label in ('field', 'en', 'zh')),
+rec as (select record_id, arg_min(value, place) filter (label = 'field') as field, arg_min(value, place) filter (label = 'en') as en, arg_min(value, place) filter (label = 'zh') as zh from fv group by 1 having count(distinct label) = 3)"""
+
+
 def payload_fields(payload: Column) -> Column:
     """The array of (label, value) of a raw record, as written: a JSON object, or label and value joined by a colon with
     bars between pairs, or by an equals sign with semicolons between them. Null for what is none of these."""

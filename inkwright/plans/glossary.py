@@ -2,18 +2,19 @@
 
 from pyspark.sql import functions as F
 
-from inkwright.functions.text import ANY_SPACE, CJK, strip
+from inkwright.functions.text import CJK, strip
 from inkwright.operators import glossary as G
 from inkwright.operators.library import first_per_key
-from inkwright.operators.records import record_values
+from inkwright.operators.records import STRIP_SQL, VALUES_SQL, record_values
 from inkwright.plans.registry import CORE
 from inkwright.sources.tables import table
 
 FLAT = """select lower(en) as en, arg_max(coalesce(zh, ''), (file_ord, field_ord, term_ord, term_id)) as zh,
   arg_min(term_id, (file_ord, field_ord, term_ord, term_id)) as first_id from corpus where en is not null group by 1"""
 KEY = "trim(regexp_replace(lower(replace({}, '-', ' ')), '[\\s\\p{{Z}}]+', ' ', 'g'), ' ')"
-BOUND = "regexp_matches(low, '(^|[^A-Za-z0-9_])' || regexp_replace(en, '([\\\\.\\[\\]{{}}()*+?^$|-])', '\\\\\\1', 'g') || '(e?s)?([^A-Za-z0-9_]|$)')"
-PLAIN = "regexp_matches(en, '^[\\x00-\\x7f]+$') and regexp_matches(en, '^[A-Za-z0-9]') and regexp_matches(en, '[A-Za-z0-9]$')"
+BOUND = "regexp_matches(low, '(^|[^\\p{L}\\p{N}_])' || regexp_escape(en) || '(e?s)?([^\\p{L}\\p{N}_]|$)')"
+PLACED = """t as materialized (select lower(en) as en, arg_max(coalesce(zh, ''), (file_ord, field_ord, term_ord, term_id)) as zh, min((file_ord, field_ord, term_ord, term_id)) as place from corpus where en is not null group by 1 having regexp_matches(lower(en), '[^\\s\\p{Z}]'))"""
+MET = "m as materialized (select p.term_id, p.low, t.* from (select term_id, lower(en) as low from corpus where en is not null) p join t on contains(p.low, t.en))"
 
 
 def corpus(spark, sf_dir):
@@ -63,45 +64,23 @@ def gloss_health(spark, sf_dir):
     return w.join(n, "field", "left").select("field", F.coalesce("n", F.lit(0)).cast("long").alias("terms"))
 
 
-def plain(terms):
-    """The terms on which the SQL's ASCII boundaries agree with others: ASCII, with a letter or digit at both ends."""
-    return terms.where(F.col("en").rlike("^[\\x00-\\x7f]+$") & F.col("en").rlike("[A-Za-z0-9]$") & F.col("en").rlike("^[A-Za-z0-9]"))
-
-
-@CORE.query("gloss_match_all")
-def gloss_match_all(spark, sf_dir):
+@CORE.query("gloss_match", f"with {PLACED}, {MET} select distinct term_id, en, zh from m where {BOUND}")
+def gloss_match(spark, sf_dir):
     """Every effective term inside the terms of the glossary's rows, themselves included."""
     return G.match_terms(table(spark, sf_dir, "corpus", "term_id", "en"), "term_id", "en", G.placed_terms(corpus(spark, sf_dir)).select("en", "zh"))
 
 
-@CORE.query("gloss_match_top_all")
-def gloss_match_top_all(spark, sf_dir):
+@CORE.query("gloss_match_top", f"""with {PLACED}, {MET}, d as (select distinct term_id, en, place from m where {BOUND})
+select term_id, en, cast(rank as int) as rank from (select *, row_number() over (partition by term_id order by length(en) desc, place) as rank from d) where rank <= {G.RELEVANT}""")
+def gloss_match_top(spark, sf_dir):
     """The terms of each text for a prompt: the longest, ties by their place in the glossary, as many as a prompt takes."""
     met = G.match_terms(table(spark, sf_dir, "corpus", "term_id", "en"), "term_id", "en", G.placed_terms(corpus(spark, sf_dir)).select("en", "place"))
     return first_per_key(met, ["term_id"], [F.desc(F.length("en")), F.asc("place")], G.RELEVANT).select("term_id", "en", "rank")
 
 
-@CORE.query("gloss_match", f"""
-with t as (select en, zh from ({FLAT}) where {PLAIN}),
-m as materialized (select p.term_id, p.low, t.en, t.zh from (select term_id, lower(en) as low from corpus) p join t on contains(p.low, t.en))
-select term_id, en, zh from m where {BOUND}""")
-def gloss_match(spark, sf_dir):
-    """Effective terms inside the terms of the glossary's rows, themselves included, as the SQL has it: only plain ASCII terms,
-    between ASCII boundaries. gloss_match_all takes every term."""
-    return G.match_terms(table(spark, sf_dir, "corpus", "term_id", "en"), "term_id", "en", plain(G.flat_terms(corpus(spark, sf_dir)).select("en", "zh")), G.ASCII_WORD)
-
-
-@CORE.query("gloss_match_top", f"""
-with t as (select en from ({FLAT}) where {PLAIN}),
-m as materialized (select p.term_id, p.low, t.en from (select term_id, lower(en) as low from corpus) p join t on contains(p.low, t.en))
-select term_id, en, cast(rank as int) as rank from (select term_id, en, row_number() over (partition by term_id order by length(en) desc, en) as rank from m where {BOUND}) where rank <= 3""")
-def gloss_match_top(spark, sf_dir):
-    """The three longest plain ASCII terms of each text; gloss_match_top_all takes every term and as many as a prompt."""
-    return first_per_key(gloss_match(spark, sf_dir).select("term_id", "en"), ["term_id"], [F.desc(F.length("en")), F.asc("en")], 3)
-
-
-@CORE.query("gloss_audit_all")
-def gloss_audit_all(spark, sf_dir):
+@CORE.query("gloss_audit", f"""with {VALUES_SQL}, {PLACED}, x as (select en, {STRIP_SQL.format('zh')} as expected from t where regexp_matches(zh, '{CJK}')),
+m as materialized (select rec.record_id, lower(rec.en) as low, rec.zh, x.en, expected from rec join x on contains(lower(rec.en), x.en)) select distinct record_id, en, expected from m where {BOUND} and not contains(zh, expected)""")
+def gloss_audit(spark, sf_dir):
     """Records of every layout whose source holds a term and whose translation lacks the standard form."""
     r = record_values(table(spark, sf_dir, "term_records", "record_id", "payload"), "record_id")
     terms = G.placed_terms(corpus(spark, sf_dir)).select("en", strip(F.col("zh")).alias("expected")).where(F.col("expected").rlike(CJK))
@@ -109,38 +88,22 @@ def gloss_audit_all(spark, sf_dir):
     return met.where(~F.col("zh").contains(F.col("expected"))).select("record_id", "en", "expected")
 
 
-@CORE.query("gloss_audit", f"""
-with t as (select en, zh from ({FLAT}) where {PLAIN} and regexp_matches(zh, '{CJK}')),
-r as (select record_id, json_extract_string(payload, '$.en') as src, json_extract_string(payload, '$.zh') as dst from term_records where json_valid(payload)),
-m as materialized (select r.record_id, lower(r.src) as low, r.dst, t.en, trim(t.zh) as zh from r join t on contains(lower(r.src), t.en))
-select record_id, en, zh as expected from m where {BOUND} and dst is not null and not contains(dst, zh)""")
-def gloss_audit(spark, sf_dir):
-    """JSON records with exact labels whose source holds a plain ASCII term and whose translation lacks the standard form, as the
-    SQL has it; gloss_audit_all takes every layout and every term."""
-    r = table(spark, sf_dir, "term_records", "record_id", "payload").select("record_id", F.get_json_object("payload", "$.en").alias("src"), F.get_json_object("payload", "$.zh").alias("dst")).where("dst is not null")
-    terms = plain(G.flat_terms(corpus(spark, sf_dir)).select("en", "zh")).where(F.col("zh").rlike(CJK))
-    met = G.match_terms(r, "record_id", "src", terms, G.ASCII_WORD).join(r.select("record_id", "dst"), "record_id")
-    return met.where(~F.col("dst").contains(F.trim("zh"))).select("record_id", "en", F.trim("zh").alias("expected"))
-
-
-ASCII = "regexp_matches(text, '^[\\x00-\\x7f]*$')"
+# the same candidates in an engine that can't look around: each run of word characters gets a mark at both ends, and the forms ask
+# for the marks where they ask for a boundary
+WORD_MARKS = "regexp_replace(text, '([\\p{L}\\p{N}_]+)', chr(1) || '\\1' || chr(2), 'g')"
+MARKED_FORMS = "\\x01(?:[A-Z][A-Za-z]+(?:\\x02[- ]\\x01[A-Z][A-Za-z]+){1,4}|[A-Z]{2,}(?:\\x02[- ]\\x01[A-Za-z0-9]+){0,4}|[A-Za-z]+(?:\\x02-\\x01[A-Za-z]+){1,4})\\x02"
 COMMON = ", ".join(f"'{w}'" for w in G.COMMON)
 MARKED = " or ".join(f"contains(lower(raw), '{w}')" for w in G.ACADEMIC)
 CAND = f"""
-with f as (select doc_id, unnest(m) as raw, generate_subscripts(m, 1) as pos from (select doc_id, regexp_extract_all(text, '{G.CANDIDATE}') as m from documents where {ASCII})),
+with f as (select doc_id, replace(replace(unnest(m), chr(1), ''), chr(2), '') as raw, generate_subscripts(m, 1) as pos from (select doc_id, regexp_extract_all({WORD_MARKS}, '{MARKED_FORMS}') as m from documents where text is not null)),
 k as (select *, {KEY.format('raw')} as term_key from f),
 g as (select term_key, arg_min(raw, (doc_id, pos)) as term, count(*) as n, count(distinct doc_id) as texts from k
   where length(term_key) >= 4 and term_key not in ({COMMON}) and (regexp_matches(raw, '[A-Z]') or (contains(raw, '-') and ({MARKED}))) group by 1),
 c as (select * from g where term_key not in (select {KEY.format('en')} from corpus where en is not null))"""
 
 
-def mined(spark, sf_dir, ascii_only=False):
-    docs, known = table(spark, sf_dir, "documents", "doc_id", "text"), corpus(spark, sf_dir).where("en is not null")
-    if ascii_only:
-        docs = docs.where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    else:
-        known = known.withColumn("en", F.regexp_replace("en", ANY_SPACE, " "))
-    return G.candidates(docs, "doc_id", "text", known)
+def mined(spark, sf_dir):
+    return G.candidates(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", corpus(spark, sf_dir).where("en is not null"))
 
 
 def most_frequent(candidates):
@@ -152,34 +115,16 @@ def with_field(candidates):
     return candidates.select("term_key", field.alias("field"), confidence.alias("confidence"))
 
 
-@CORE.query("cand_extract_all")
-def cand_extract_all(spark, sf_dir):
-    """The candidates of all texts."""
-    return mined(spark, sf_dir)
-
-
-@CORE.query("cand_top_all")
-def cand_top_all(spark, sf_dir):
-    """The 100 most frequent candidates of all texts."""
-    return most_frequent(mined(spark, sf_dir))
-
-
-@CORE.query("cand_field_all")
-def cand_field_all(spark, sf_dir):
-    """The field that the words of each candidate of all texts suggest."""
-    return with_field(mined(spark, sf_dir))
-
-
 @CORE.query("cand_extract", f"{CAND} select term_key, term, n, texts from c")
 def cand_extract(spark, sf_dir):
-    """The candidates of texts that are wholly ASCII, as the SQL's \\b demands; cand_extract_all reads every text."""
-    return mined(spark, sf_dir, ascii_only=True)
+    """The candidates of all texts."""
+    return mined(spark, sf_dir)
 
 
 @CORE.query("cand_top", f"{CAND} select term_key, n from c order by n desc, term_key limit 100")
 def cand_top(spark, sf_dir):
-    """A report of the 100 most frequent candidates, of ASCII texts only; cand_top_all reads every text."""
-    return most_frequent(mined(spark, sf_dir, ascii_only=True))
+    """The 100 most frequent candidates of all texts."""
+    return most_frequent(mined(spark, sf_dir))
 
 
 HITS = [" + ".join(f"cast(contains(term_key, '{w}') as int)" for w in ws) for _, ws in G.FIELD_KEYWORDS]
@@ -189,8 +134,8 @@ FIELD = "case when best = 0 then '" + G.BROAD_FIELD + "' " + " ".join(f"when ({h
 
 @CORE.query("cand_field", f"{CAND}, b as (select *, {BEST} as best from c) select term_key, {FIELD} as field, case when best = 0 then 0.35::double else least(0.95::double, 0.52::double + best * 0.12::double) end as confidence from b")
 def cand_field(spark, sf_dir):
-    """The field that each candidate's words suggest, of ASCII texts only; cand_field_all reads every text."""
-    return with_field(mined(spark, sf_dir, ascii_only=True))
+    """The field that the words of each candidate of all texts suggest."""
+    return with_field(mined(spark, sf_dir))
 
 
 def by_field(spark, sf_dir):
@@ -199,22 +144,10 @@ def by_field(spark, sf_dir):
     return c.groupBy("field", "en").agg(F.max(F.struct(o.alias("o"), F.coalesce("zh", F.lit("")).alias("zh")))["zh"].alias("zh")).withColumn("present", F.lit(True))
 
 
-@CORE.query("gloss_upsert", """
-with o as (select field, en, arg_max(coalesce(zh, ''), (file_ord, term_ord, term_id)) as zh, true as present from corpus where en is not null and field is not null group by 1, 2),
-r as (select regexp_extract(json_extract_string(payload, '$.field'), '[^.]+$') as field, trim(json_extract_string(payload, '$.en'), ' ') as en, trim(json_extract_string(payload, '$.zh'), ' ') as zh
-  from term_records where json_valid(payload)),
-n as (select field, en, max(zh) as new_zh from r where field <> '' and en <> '' and zh <> '' group by 1, 2)
-select coalesce(o.field, n.field) as field, coalesce(o.en, n.en) as en, coalesce(new_zh, zh) as zh,
-  case when new_zh is null or zh = new_zh then 'kept' when present is null then 'added' else 'changed' end as change from o full join n on o.field = n.field and o.en = n.en""")
+@CORE.query("gloss_upsert", f"""with {VALUES_SQL}, o as (select field, en, arg_max(coalesce(zh, ''), (file_ord, term_ord, term_id)) as zh, true as present from corpus where en is not null and field is not null group by 1, 2),
+r as (select regexp_extract(field, '[^.]+$') as field, trim(en, ' ') as en, trim(zh, ' ') as zh from rec), n as (select field, en, max(zh) as new_zh from r where field <> '' and en <> '' and zh <> '' group by 1, 2)
+select coalesce(o.field, n.field) as field, coalesce(o.en, n.en) as en, coalesce(new_zh, zh) as zh, case when new_zh is null or zh = new_zh then 'kept' when present is null then 'added' else 'changed' end as change from o full join n on o.field = n.field and o.en = n.en""")
 def gloss_upsert(spark, sf_dir):
-    """The JSON records with exact labels, as approved terms, put into the glossary; gloss_upsert_all takes every layout."""
-    get = lambda k: F.get_json_object("payload", f"$.{k}")
-    new = table(spark, sf_dir, "term_records", "payload").select(F.regexp_extract(get("field"), "[^.]+$", 0).alias("field"), get("en").alias("en"), get("zh").alias("zh"))
-    return G.upsert(by_field(spark, sf_dir), new.where("field <> ''"))
-
-
-@CORE.query("gloss_upsert_all")
-def gloss_upsert_all(spark, sf_dir):
     """The records of every layout, as approved terms, put into the glossary."""
     new = record_values(table(spark, sf_dir, "term_records", "payload")).withColumn("field", F.regexp_extract("field", "[^.]+$", 0))
     return G.upsert(by_field(spark, sf_dir), new.where("field <> ''"))

@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from inkwright.functions import text as X
 from inkwright.operators.folds import greedy_batches
-from inkwright.operators.records import record_values
+from inkwright.operators.records import STRIP_SQL, VALUES_SQL, record_values
 from inkwright.plans.registry import CORE
 from inkwright.sources.tables import table
 
@@ -29,20 +29,10 @@ def unit_export(spark, sf_dir):
     return u.select("doc_id", "unit", F.sha2("source", 256).alias("key"), F.length("source").alias("chars"))
 
 
-@CORE.query("unit_cache_join", """
-with e as (select zh as source, max(en) as translation from corpus where zh is not null and en is not null group by 1),
-u as (select distinct record_id, json_extract_string(payload, '$.zh') as source from term_records where json_valid(payload))
-select u.record_id, sha256(u.source) as key, case when e.translation is null then 'missing' when
-  list_sort(regexp_extract_all(u.source, '⟦\\d+⟧')) <> list_sort(regexp_extract_all(e.translation, '⟦\\d+⟧')) then 'invalid_placeholders' else 'hit' end as outcome
-from u left join e on e.source = u.source where u.source is not null""")
+@CORE.query("unit_cache_join", f"""with {VALUES_SQL}, e as (select zh as source, max(en) as translation from corpus where zh is not null and en is not null group by 1), u as (select distinct record_id, zh as source from rec)
+select u.record_id, sha256(u.source) as key, case when e.translation is null then 'missing' when list_sort(regexp_extract_all(u.source, '⟦\\d+⟧')) <> list_sort(regexp_extract_all(e.translation, '⟦\\d+⟧')) then 'invalid_placeholders' else 'hit' end as outcome
+from u left join e on e.source = u.source""")
 def unit_cache_join(spark, sf_dir):
-    """The terms of JSON records with exact labels looked up in the glossary; unit_cache_join_all takes every layout."""
-    u = table(spark, sf_dir, "term_records", "record_id", "payload").select("record_id", F.get_json_object("payload", "$.zh").alias("source")).where("source is not null").distinct()
-    return cached(u, table(spark, sf_dir, "corpus", "en", "zh"))
-
-
-@CORE.query("unit_cache_join_all")
-def unit_cache_join_all(spark, sf_dir):
     """The terms of records of every layout looked up in the glossary as a translation cache."""
     u = record_values(table(spark, sf_dir, "term_records", "record_id", "payload"), "record_id").select("record_id", F.col("zh").alias("source")).distinct()
     return cached(u, table(spark, sf_dir, "corpus", "en", "zh"))
@@ -107,16 +97,10 @@ def txt_profile(spark, sf_dir):
 
 @CORE.query("untranslated_detect", f"""
 with p as (select doc_id, len(regexp_extract_all(text, '{X.CJK_WIDE}')) as cjk, len(regexp_extract_all(text, '[A-Za-z]{{2,}}')) as words,
-  len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x in ({STOP}))) as stop from documents where lang = 'zh' and text is not null)
+  len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x in ({STOP}))) as stop from documents
+  where text is not null and regexp_extract(lower({STRIP_SQL.format('lang')}), '^([^-_.(（]*[^-_.(（\\s])\\s*([-_.(（].*)?$', 1) in ({", ".join(repr(c) for c in X.CHINESE)}))
 select doc_id, cast(words as int) as words, cast(stop as int) as stopwords from p where words >= 12 and stop >= 3 and cjk < 8""")
 def untranslated_detect(spark, sf_dir):
-    """Texts whose lang is just zh, as the SQL has it, that are running English prose; untranslated_detect_all takes every
-    way to write Chinese."""
-    return english_prose(spark, sf_dir, F.col("lang") == "zh")
-
-
-@CORE.query("untranslated_detect_all")
-def untranslated_detect_all(spark, sf_dir):
     """Texts said to be Chinese, however written, that are running English prose."""
     return english_prose(spark, sf_dir, X.says_chinese(F.col("lang")))
 
