@@ -1,13 +1,8 @@
 """SQL that gives the same rows as the queries of this subpackage, where SQL can say them over whole tables."""
 
-LIST_LABELS = """pl as (select record_id, trim(payload, ' ') as p from term_records where payload is not null and record_id is not null),
-js as (select record_id, unnest(json_keys(p)) as label, p from pl where regexp_matches(p, '(?s)^\\{.*\\}$') and json_valid(p)), jp as (select record_id, label, json_extract_string(p, '$."' || replace(label, '"', '\\"') || '"') as value from js),
-sg as (select record_id, case when regexp_extract(p, '^[^:=|;]+([:=])', 1) = ':' then ':' else '=' end as sign, case when regexp_extract(p, '^[^:=|;]+([:=])', 1) = ':' then '|' else ';' end as bar, p from pl where not starts_with(p, '{') and regexp_matches(p, '^[^:=|;]+[:=]')),
-s1 as (select record_id, sign, bar, unnest(string_split(p, bar)) as part, generate_subscripts(string_split(p, bar), 1) as i from sg),
-s2 as (select *, case when i = 1 or regexp_matches(part, case when sign = ':' then '^[^:=|;]+:' else '^[^:=|;]+=' end) then 1 else 0 end as new from s1), s3 as (select *, sum(new) over (partition by record_id order by i) as g from s2),
-s4a as (select record_id, any_value(sign) as sign, any_value(bar) as bar, list(part order by i) as parts from s3 group by record_id, g), s4 as (select record_id, sign, list_reduce(parts, lambda a, b: a || bar || b) as pair from s4a), tp as (select record_id, substr(pair, 1, strpos(pair, sign) - 1) as label, substr(pair, strpos(pair, sign) + 1) as value from s4),
-raw as (select record_id, label, value from jp union all select record_id, label, value from tp),
-nf as (select record_id, regexp_replace(replace(lower(upper(label)), 'ς', 'σ'), '[^\\p{L}\\p{N}]+', '', 'g') as label, regexp_replace(replace(lower(upper(coalesce(value, ''))), 'ς', 'σ'), '[^\\p{L}\\p{N}]+', '', 'g') as value from raw),
+from inkwright.operators.records import NORMAL_SQL, PAIRS_SQL
+
+LIST_LABELS = f"""{PAIRS_SQL}, nf as (select record_id, {NORMAL_SQL.format('label')} as label, {NORMAL_SQL.format("coalesce(value, '')")} as value from raw),
 rec as (select record_id, list_sort(list(label || chr(1) || value)) as fields from nf where value <> '' group by 1 having count(*) filter (label = 'field') > 0 and count(*) filter (label = 'en') > 0 and count(*) filter (label = 'zh') > 0),
 grp as (select record_id, min(record_id) over (partition by fields) as kept_id from rec)"""
 
