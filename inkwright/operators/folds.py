@@ -29,6 +29,37 @@ def anchor_clusters(values: Iterable[float], gap: float) -> list[float]:
     return out
 
 
+def row_groups(centers: Iterable[float], near: float = 2.5) -> list[int]:
+    """The row of each value in rising order: the first row whose median so far is within `near`, or a new one."""
+    rows: list[list[float]] = []
+    out = []
+    for c in centers:
+        for i, row in enumerate(rows):
+            k = len(row)
+            middle = (row[(k - 1) // 2] + row[k // 2]) / 2
+            if abs(c - middle) <= near:
+                row.append(c)
+                out.append(i)
+                break
+        else:
+            rows.append([c])
+            out.append(len(rows) - 1)
+    return out
+
+
+def coalesce_runs(runs: Iterable[tuple[float, float, float, float]], level: float = 1.5, back: float = -0.5, gap: float = 2.5) -> list[tuple[float, float, float, float]]:
+    """Boxes in order, of which neighbours at one height with a small gap grow into one; the grown box is what the next is held against."""
+    out: list[tuple[float, float, float, float]] = []
+    for r in runs:
+        if out:
+            p = out[-1]
+            if abs((r[1] + r[3]) / 2 - (p[1] + p[3]) / 2) <= level and back <= r[0] - p[2] <= gap:
+                out[-1] = (min(p[0], r[0]), min(p[1], r[1]), max(p[2], r[2]), max(p[3], r[3]))
+                continue
+        out.append(r)
+    return out
+
+
 class SlidingLog:
     """Limits on accepted requests within windows of seconds. A request is tested against each window in turn; one that is
     rejected isn't recorded. An entry as old as its window has expired."""
