@@ -62,6 +62,7 @@ def by_code(issues: DataFrame, key: list[str]) -> DataFrame:
 
 def messages(issues: DataFrame, key: list[str], order: str) -> DataFrame:
     """What a person is told: up to three codes in order of appearance, with up to five pages each."""
+    # The words of the message.
     e = issues.where(_error()).groupBy(*key, "code").agg(F.min(order).alias("o"), F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("page") > 0, F.col("page")))).alias("pages"))
     one = lambda x: F.when(F.size(x["pages"]) > 0, F.concat(x["code"], F.lit("（第 "), F.array_join(F.slice(x["pages"], 1, 5).cast("array<string>"), "、"), F.lit(" 页）"))).otherwise(x["code"])
     g = e.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("o", "code", "pages"))).alias("xs"), F.sum("n").alias("n"))

@@ -5,6 +5,7 @@ Python and run in Arrow batches on the executors."""
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 Supplier = Callable[[list[str]], list[str]]
 MARK = re.compile(r"⟦\d+⟧")
 HAN = re.compile("[一-鿿]")
+_LATIN = re.compile("[A-Za-z]")
+_AROUND_MARKS = re.compile(r"(⟦\d+⟧)")
+_SENTENCE = re.compile(r".*?[.!?]\s+|.+\Z", re.S)
 #: Characters that each half of a split text holds at least; texts of one call to the supplier.
 SHORTEST, TOGETHER = 80, 16
 
@@ -30,42 +34,34 @@ def _good(source: str, target: str) -> bool:
 
 
 def halves(text: str, shortest: int = SHORTEST) -> tuple[str, str] | None:
-    """A text cut at the end of the sentence that is nearest to its middle."""
-    ends = [m.end() for m in re.finditer(r"[.!?]\s+", text) if shortest <= m.end() <= len(text) - shortest]
-    at = min(ends, key=lambda e: abs(e - len(text) / 2), default=None)
-    return None if at is None else (text[:at].strip(), text[at:].strip())
+    """A text cut between the two sentences that leave its parts most alike in length."""
+    sentences = _SENTENCE.findall(text)
+    places = [p for p in itertools.accumulate(map(len, sentences)) if shortest <= p <= len(text) - shortest]
+    if not places:
+        return None
+    _, at = min((abs(2 * p - len(text)), p) for p in places)
+    return text[:at].strip(), text[at:].strip()
 
 
 def by_halves(supply: Supplier, text: str) -> str | None:
-    parts = halves(text)
-    if parts is None:
-        return None
-    out = []
-    for part in parts:
-        got = supply([part])
-        if len(got) != 1 or not marks_kept(part, got[0]):
-            return None
-        out.append(got[0].strip())
-    whole = " ".join(out)
-    return whole if marks_kept(text, whole) else None
+    """Both halves on their own, if each keeps its marks."""
+    parts = halves(text) or ()
+    done = [got[0].strip() for part in parts if len(got := supply([part])) == 1 and marks_kept(part, got[0])]
+    return " ".join(done) if parts and len(done) == len(parts) else None
 
 
 def by_prose(supply: Supplier, text: str) -> str | None:
-    """Only the runs between marks are translated, so that no mark can be lost."""
-    marks = MARK.findall(text)
-    if not marks:
+    """The text without its marks, which never reach the supplier: what lies between them is translated and put back around them."""
+    pieces = [p for p in map(str.strip, _AROUND_MARKS.split(text)) if p]
+    wanted = [p for p in pieces if not MARK.fullmatch(p) and len(p) > 1 and _LATIN.search(p)]
+    if len(pieces) == 1 or not MARK.search(text):
+        return None
+    answers = [a.strip() for a in supply(wanted)] if wanted else []
+    if len(answers) != len(wanted) or "" in answers:
         return None
-    runs = [r.strip() for r in MARK.split(text)]
-    prose = [i for i, r in enumerate(runs) if len(r) >= 2 and re.search("[A-Za-z]", r)]
-    if prose:
-        got = supply([runs[i] for i in prose])
-        if len(got) != len(prose) or any(not g.strip() for g in got):
-            return None
-        for i, g in zip(prose, got):
-            runs[i] = g.strip()
-    parts = [p for i, r in enumerate(runs) for p in ((r,) if r else ()) + ((marks[i],) if i < len(marks) else ())]
-    whole = " ".join(parts)
-    return whole if marks_kept(text, whole) and HAN.search(whole) else None
+    own = dict(zip(wanted, answers))
+    out = " ".join(own.get(p, p) for p in pieces)
+    return out if HAN.search(out) and marks_kept(text, out) else None
 
 
 def recover(supply: Supplier, texts: list[str]) -> list[tuple[str, str]]:

@@ -52,6 +52,7 @@ def gloss_lint(spark, sf_dir):
     return G.lint_counts(corpus(spark, sf_dir))
 
 
+# Fields whose health is shown.
 WANTED = ["neurips_icml_iclr", "neurips_foundations_theory", "cvpr_computer_vision", "cvpr_detection_segmentation", "acl_nlp", "agents_alignment_safety"]
 
 

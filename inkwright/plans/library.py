@@ -46,6 +46,7 @@ def lib_progress_meta(spark, sf_dir):
     """Stage and remaining time as shown: the stored stage while work goes on, else what the status says."""
     s, stored = F.col("translation_status"), F.trim(F.coalesce("translation_stage", F.lit("")))
     stage = F.when(s.isin("translating", "repairing") & (stored != ""), stored)
+    # The stage of each status.
     for status, text in (("pending", "等待翻译"), ("completed", "已完成"), ("repairing", "等待系统修复"), ("failed", "失败"), ("translating", "翻译中")):
         stage = stage.when(s == status, text)
     eta = F.when((s == "translating") & F.col("translation_eta_seconds").isNotNull(), duration(F.col("translation_eta_seconds")))
