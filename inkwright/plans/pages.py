@@ -87,7 +87,7 @@ KEYED = "k as (select *, row_number() over (partition by doc, side order by y0,
 
 @CORE.query("reference_overlaps", f"""with {SPANS}, {KEYED}, p as (select a.doc, a.side, a.i as i, b.i as j, a.chars as ca, b.chars as cb from k a join k b on a.doc = b.doc and a.side = b.side and a.i < b.i where {PAIR} and a.chars <> b.chars and a.chars >= 4 and b.chars >= 4),
 src as (select distinct doc, least(ca, cb) as lo, greatest(ca, cb) as hi from p where side = 'R'), f as (select p.* from p left join src on src.doc = p.doc and src.lo = least(ca, cb) and src.hi = greatest(ca, cb) where p.side = 'N' and src.doc is null)
-select doc, i, j from (select *, row_number() over (partition by doc order by i, j) as r from f) where r <= 3""")
+select doc, cast(i as int) as i, cast(j as int) as j from (select *, row_number() over (partition by doc order by i, j) as r from f) where r <= 3""")
 def reference_overlaps(spark, sf_dir):
     """Pairs of spans with different texts that run into each other where the source's own don't; the first three of a page."""
     order = Window.partitionBy("doc", "side").orderBy("y0", "x0", "x1", "y1", "chars", "size", "style")
