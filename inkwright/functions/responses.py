@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkwright.operators.scale import bind
+
 # Where a list of texts may stand, in order, and the names of a text in an object.
 LISTS = ["$.translations", "$.translated_texts", "$.results", "$.data.translations", "$.data.results"]
 TEXTS = ["text", "translated_text", "translation"]
@@ -19,10 +21,8 @@ def without_fence(c: Column) -> Column:
 def json_of(c: Column) -> Column:
     """The JSON of an answer as text: the whole without its fence, or else the part from the first bracket to the last of its
     kind; null if neither is JSON."""
-    t = without_fence(c)
-    part = F.regexp_extract(t, r"(\{[\s\S]*\}|\[[\s\S]*\])", 1)
     valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
-    return F.coalesce(valid(t), valid(part))
+    return bind(without_fence(c), lambda t: F.coalesce(valid(t), bind(F.regexp_extract(t, r"(\{[\s\S]*\}|\[[\s\S]*\])", 1), valid)))
 
 
 def _kind(v: Column) -> Column:
@@ -43,7 +43,10 @@ def _text_list(v: Column) -> Column:
 
 def text_list(json: Column) -> Column:
     """The list of texts of a parsed answer: the whole, or the first of LISTS that is one; null if there is none."""
-    v = F.try_parse_json(json)
+    return bind(F.try_parse_json(json), _first_list)
+
+
+def _first_list(v: Column) -> Column:
     whole = F.when(_kind(v).startswith("ARRAY") & ~F.exists(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.coalesce(_kind(x) != "STRING", F.lit(True))), _text_list(v))
     return F.coalesce(whole, *[_text_list(F.try_variant_get(v, p, "variant")) for p in LISTS])
 
@@ -60,12 +63,9 @@ def chat_message(json: Column) -> Column:
 
 def plain_text(c: Column) -> Column:
     """An answer taken as one text: the only text of its JSON, or the answer without its fence; null if nothing is left."""
-    t = F.trim(without_fence(c))
-    json = json_of(t)
-    v = F.try_parse_json(json)
-    texts = text_list(json)
-    only = F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string")).when(F.size(texts) == 1, texts[0])
-    return F.nullif(F.trim(F.coalesce(only, t)), F.lit(""))
+    string = lambda v: F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    one = lambda json: F.coalesce(bind(F.try_parse_json(json), string), bind(text_list(json), lambda xs: F.when(F.size(xs) == 1, F.get(xs, F.lit(0)))))
+    return bind(F.trim(without_fence(c)), lambda t: F.nullif(F.trim(F.coalesce(bind(json_of(t), one), t)), F.lit("")))
 
 
 def chat_url(c: Column) -> Column:
