@@ -405,15 +405,12 @@ def fit(size: int = TABLE, seed: int = SEED, rounds: int = ROUNDS, step: float =
         part = own[(it - 1) % SHARES]
         rate = step * (1 - 0.9 * it / steps)
         for j, g in enumerate(part.gradient(model)):
-            p = params[j]
-            if j == 0:  # only the rows in use
-                rest = np.zeros_like(p)
-                rest[:, part.some] = g
-                g = rest
-            g = g - penalty / SHARES * np.where(np.abs(p) < 1e3, p, 0)
-            m1[j] = 0.9 * m1[j] + 0.1 * g
-            m2[j] = 0.99 * m2[j] + 0.01 * g * g
-            p += (rate * (m1[j] / (1 - 0.9**it)) / (np.sqrt(m2[j] / (1 - 0.99**it)) + 1e-2)).astype(np.float32)
+            at = (slice(None), part.some) if j == 0 else ...  # of the word weights only those in use
+            p = params[j][at]
+            g = (g - penalty / SHARES * np.where(np.abs(p) < 1e3, p, 0)).astype(np.float32)
+            a, b = 0.9 * m1[j][at] + 0.1 * g, 0.99 * m2[j][at] + 0.01 * g * g
+            m1[j][at], m2[j][at] = a, b
+            params[j][at] = p + rate / (1 - 0.9**it) * a / (np.sqrt(b / (1 - 0.99**it)) + 1e-2)
         model.move[fixed] = -1e4
     model.lean = LEAN
     return model
