@@ -30,7 +30,7 @@ LEAN = 0.3
 #: Shares in which the table goes by.
 SHARES = 8
 #: The share of words shown to the fit by their form only.
-HIDDEN = 0.35
+HIDDEN = 0.6
 LABELS = ["O"] + [p + k for k in KINDS for p in ("B", "I")]
 REACH = 4
 #: Characters tagged at once.

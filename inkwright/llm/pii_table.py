@@ -425,6 +425,10 @@ def part_of(items: list, part: int, parts: int) -> list:
     return items[part::parts]
 
 
+#: Shares of the three kinds of lines.
+MIX = [0.3, 0.38, 0.32]
+
+
 class Maker:
     """Draws values and fillers; `keep` says which of `parts` the lists give."""
 
@@ -597,7 +601,7 @@ def labelled(size: int, seed: int, keep: tuple[int, ...] = (0,), parts: int = 1)
     for _ in range(size):
         text, spans = "", []
         for _ in range(r.randint(1, 3)):
-            line = r.choice(r.choices([m.lines, m.open, m.plain], [0.3, 0.38, 0.32])[0])
+            line = r.choice(r.choices([m.lines, m.open, m.plain], MIX)[0])
             shout = r.random() < 0.05
             between = r.choice(["\n", "\n", "\r\n"]) if r.random() < 0.7 else ", "
             at, parts_ = 0, []
