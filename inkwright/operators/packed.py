@@ -159,11 +159,12 @@ def split_array(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     per_row = np.bincount(of, minlength=len(texts))
     child = np.concatenate([[0], np.cumsum(per_row)])
     values = pa.LargeListArray.from_arrays(pa.array(child, pa.int64()), values).flatten().cast(pa.string())
-    if escaped:
-        fixed = values.to_pylist()
-        for i, quote in escaped:
-            fixed[i] = _unescape(fixed[i], quote)
-        values = pa.array(fixed, pa.string())
+    if escaped:  # only these values are touched
+        escaped = sorted(escaped)
+        mask = np.zeros(len(values), bool)
+        mask[[i for i, _ in escaped]] = True
+        fixed = [_unescape(v, quote) for v, (_, quote) in zip(values.filter(pa.array(mask)).to_pylist(), escaped)]
+        values = pc.replace_with_mask(values, pa.array(mask), pa.array(fixed, pa.string()))
     return valid[of], (np.arange(len(of)) - child[of] + 1).astype(np.int32), values
 
 

@@ -118,11 +118,11 @@ def layout_classify(spark, sf_dir):
     """The family of a page's layout, by an ordered ladder, with its policy; captions by the upper median of heights."""
     g = spans(spark, sf_dir).groupBy("doc").agg(
         F.least(F.lit(3), F.greatest(F.lit(1), F.countDistinct(F.bround(F.col("x0") / 150)))).cast("long").alias("columns"),
-        F.count("*").alias("n"), F.array_sort(F.collect_list(F.col("y1") - F.col("y0"))).alias("h"), F.bool_or(F.col("side") == "R").alias("ieee"),
+        F.expr("percentile_disc(0.5) within group (order by y1 - y0 desc)").alias("upper"), F.bool_or(F.col("side") == "R").alias("ieee"),
     )
     two = F.col("columns") >= 2
     profile = F.when(two & F.col("ieee"), "ieee_two_column").when(two, "generic_two_column").otherwise("single_column")
-    upper = F.element_at("h", (F.floor(F.col("n") / 2) + 1).cast("int"))
+    upper = F.col("upper")  # of an even number the upper one, since the order falls
     return g.select("doc", "columns", profile.alias("profile"), F.when(upper < 18, "compact").otherwise("loose").alias("captions"), F.when(two & F.col("ieee"), 46.0).otherwise(36.0).alias("extra"))
 
 
