@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwright.functions.text import word_key
-from inkwright.operators.scale import small
+from inkwright.operators.scale import bind, small, stage
 
 ORDER = ["file_ord", "field_ord", "term_ord", "term_id"]
 #: Terms up to this count are broadcast; more are joined by a shuffle.
 FEW_TERMS = 100_000
 #: The characters of words, in any script and in ASCII.
 WORD, ASCII_WORD = r"\p{L}\p{N}_", "A-Za-z0-9_"
+#: Terms and texts meet on runs of up to this many words.
+KEY_WORDS = 8
 #: A prompt takes this many terms.
 RELEVANT = 50
 
@@ -80,32 +82,57 @@ def lint_counts(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("field").agg(F.count("*").alias("terms"), F.count_if(blank).alias("blank"), F.count_if(~blank & (F.lower(en) == F.lower(zh))).alias("untranslated"))
 
 
-def match_terms(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame, word: str = WORD, few: int = FEW_TERMS) -> DataFrame:
+def match_terms(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame, word: str = WORD, few: int = FEW_TERMS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, and the columns of `terms`): terms that a text holds as whole words or a simple plural, case aside. Neither
     end of a term may touch another character of the class `word`. Any term that isn't blank counts, whatever its characters.
+    `keep`: columns of the texts that come along.
 
-    Texts and terms meet on a term's first word, and on its first two where it has more; the pattern then decides. No pair is
-    tried that shares no word, but for terms without any, which are tried on every text."""
+    Texts and terms meet on all words of a term (of one with more than KEY_WORDS, on its first ones); the pattern then decides.
+    So the pairs tried are about those that match, however many terms begin alike. A term without any word meets the texts that
+    hold its first sign."""
     words = lambda c: F.filter(F.split(F.lower(c), f"[^{word}]+"), lambda x: x != "")
+    joined = lambda at, n: F.concat_ws(" ", F.slice("ws", at, n))
+    sign = f"([^{word}\\s\\p{{Z}}])"
+    # a key has what it begins with in its upper half: the first two words of a run, but never the last of several, which may
+    # stand in the plural
+    key = lambda n, begin, run: F.shiftleft(F.hash(n, begin).cast("long"), 32).bitwiseOR(F.hash(run).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    begin = lambda key: F.shiftright(key, 32)
     cols = terms.columns
-    t = terms.where(F.col("en").rlike(r"[^\s\p{Z}]")).withColumn("ws", words(F.col("en"))).withColumn("two", F.size("ws") > 2)
-    t = t.select(*cols, F.when(F.col("two"), F.concat_ws(" ", F.slice("ws", 1, 2))).otherwise(F.coalesce(F.get("ws", F.lit(0)), F.lit(""))).alias("key"), "two")
-    own = texts.select(id_col, F.lower(text_col).alias("low")).where("low is not null")
-    own = own.withColumn("ws", words(F.col("low")))
-    # a one-word term may stand in the plural, so each word also counts without its ending
+    t = stage(terms.where(F.col("en").rlike(r"[^\s\p{Z}]")), "terms").withColumn("ws", words(F.col("en"))).withColumn("n", F.least(F.size("ws"), F.lit(KEY_WORDS + 1)))
+    t = t.withColumn("run", F.when(F.col("n") == 0, F.regexp_extract(F.lower("en"), sign, 1)).otherwise(joined(1, KEY_WORDS)))
+    t = t.select(*cols, key(F.col("n"), F.when(F.col("n") < 2, F.col("run")).otherwise(joined(1, F.least(F.col("n") - 1, F.lit(2)))), F.col("run")).alias("key"))
+    own = texts.select(id_col, F.lower(text_col).alias("low"), *keep).where("low is not null")
+    # r1 to r8: the runs of one to KEY_WORDS words, by the place of their first
+    keys = own.withColumn("r1", words(F.col("low")))
+    for n in range(2, KEY_WORDS + 1):
+        keys = keys.withColumn(f"r{n}", F.array_compact(F.zip_with(f"r{n - 1}", F.slice("r1", n, F.size("r1")), lambda a, b: F.concat(a, F.lit(" "), b))))
+    found = [F.transform(F.regexp_extract_all("low", F.lit(sign), F.lit(1)), lambda x: key(F.lit(0), x, x))]
+    # the last word of a term may stand in the plural, so runs also count without its ending
     bare = lambda w, end: F.when(w.endswith(end), F.substring(w, F.lit(1), F.length(w) - len(end)))
-    ones = F.concat(F.array(F.lit("")), F.flatten(F.transform("ws", lambda w: F.array_compact(F.array(w, bare(w, "s"), bare(w, "es"))))))
-    twos = F.zip_with("ws", F.expr("slice(ws, 2, size(ws))"), lambda a, b: F.concat_ws(" ", a, b))
-    keys = own.select(id_col, "low", F.explode(F.array_distinct(F.concat(F.transform(ones, lambda k: F.struct(F.lit(False).alias("two"), k.alias("key"))), F.transform(twos, lambda k: F.struct(F.lit(True).alias("two"), k.alias("key")))))).alias("k")).select(id_col, "low", "k.two", "k.key")
+
+    def ended(end: str) -> list[Column]:
+        """The keys of the runs with an ending, without it."""
+        ones = F.transform(F.filter("r1", lambda w: w.endswith(end)), lambda w: bind(bare(w, end), lambda x: key(F.lit(1), x, x)))
+        longer = lambda n: F.zip_with(f"r{n}", f"r{min(n - 1, 2)}", lambda w, b: F.when(w.endswith(end), key(F.lit(n), b, bare(w, end))))
+        return [ones, *map(longer, range(2, KEY_WORDS + 1))]
+
+    found += [*ended(""), *ended("s"), *ended("es")]
+    more = F.slice(f"r{KEY_WORDS}", 1, F.greatest(F.size(f"r{KEY_WORDS}") - 1, F.lit(0)))  # those that a further word follows
+    found.append(F.zip_with(more, "r2", lambda w, b: F.when(w.isNotNull(), key(F.lit(KEY_WORDS + 1), b, w))))
+    keys = keys.select(id_col, "low", *keep, F.explode(F.array_distinct(F.array_compact(F.concat(*found)))).alias("key"))
     held = small(t, few)
     if held is not t:
-        met = keys.join(held, ["two", "key"])
-    else:  # many terms: only ids and keys meet in the shuffle, and each text moves once
-        met = keys.drop("low").join(t, ["two", "key"]).select(id_col, *cols).distinct().join(own.select(id_col, "low"), id_col)
+        met = keys.join(held, "key")
+    else:  # many terms: only ids and keys meet in the shuffle, of keys that begin as a term does, and each text moves once
+        begins = t.select(begin("key").alias("begin")).distinct()
+        if (begun := small(begins, few)) is not begins:
+            keys = keys.join(begun, begin("key") == F.col("begin"), "left_semi")
+        met = keys.select(F.col(id_col).alias("_id"), "key").join(t.select(*cols, "key"), "key").select("_id", *cols)
+        met = met.join(own, F.col("_id").eqNullSafe(F.col(id_col)))
     met = met.where(F.col("low").contains(F.col("en")))
     escaped = F.regexp_replace("en", r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
     hit = F.expr("rlike(low, pattern)")
-    return met.withColumn("pattern", F.concat(F.lit(f"(?<![{word}])"), escaped, F.lit(f"(e?s)?(?![{word}])"))).where(hit).select(id_col, *cols).distinct()
+    return met.withColumn("pattern", F.concat(F.lit(f"(?<![{word}])"), escaped, F.lit(f"(e?s)?(?![{word}])"))).where(hit).select(id_col, *cols, *keep).distinct()
 
 
 def academic(raw: Column) -> Column:

@@ -85,7 +85,7 @@ def gloss_audit(spark, sf_dir):
     """Records of every layout whose source holds a term and whose translation lacks the standard form."""
     r = record_values(table(spark, sf_dir, "term_records", "record_id", "payload"), "record_id")
     terms = G.placed_terms(corpus(spark, sf_dir)).select("en", strip(F.col("zh")).alias("expected")).where(F.col("expected").rlike(CJK))
-    met = G.match_terms(r, "record_id", "en", terms).join(r.select("record_id", "zh"), "record_id")
+    met = G.match_terms(r, "record_id", "en", terms, keep=("zh",))
     return met.where(~F.col("zh").contains(F.col("expected"))).select("record_id", "en", "expected")
 
 
