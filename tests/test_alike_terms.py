@@ -38,7 +38,7 @@ def test_terms_of_any_length_match_either_way(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
-@pytest.mark.parametrize("name", ["gloss_audit", "gloss_audit_top", "gloss_match"])
+@pytest.mark.parametrize("name", ["gloss_audit", "gloss_audit_top", "gloss_match", "gloss_match_top"])
 def test_queries_over_terms_that_begin_alike(spark, tmp_path, monkeypatch, name):
     """As where the terms are too many for a broadcast."""
     monkeypatch.setattr(G, "small", lambda df, *_: df)
