@@ -6,19 +6,23 @@ first definition and its value that of the last.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwright.functions.text import word_key
-from inkwright.operators.scale import bind, small, stage
+from inkwright.operators.scale import small, stage
 
 ORDER = ["file_ord", "field_ord", "term_ord", "term_id"]
 #: Terms up to this count are broadcast; more are joined by a shuffle.
 FEW_TERMS = 100_000
 #: The characters of words, in any script and in ASCII.
 WORD, ASCII_WORD = r"\p{L}\p{N}_", "A-Za-z0-9_"
+#: What a term that isn't blank has.
+SAYING = r"[^\s\p{Z}]"
 #: Terms and texts meet on runs of up to this many words.
 KEY_WORDS = 8
+#: Keys of terms up to this count are broadcast, of about 80 bytes each.
+MANY_KEYS = 2_000_000
 #: A prompt takes this many terms.
 RELEVANT = 50
 
@@ -82,6 +86,72 @@ def lint_counts(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("field").agg(F.count("*").alias("terms"), F.count_if(blank).alias("blank"), F.count_if(~blank & (F.lower(en) == F.lower(zh))).alias("untranslated"))
 
 
+def _runs(texts: DataFrame, word: str) -> DataFrame:
+    """`texts` (with a column low) and: h and s, the hashes of the words of each, s without the ending of a simple plural (words
+    may be alike in that without being plurals)."""
+    cols = texts.columns
+    k = texts.withColumn("ws", F.filter(F.split("low", f"[^{word}]+"), lambda x: x != ""))
+    return k.select(*cols, F.transform("ws", lambda w: F.xxhash64(w)).alias("h"), F.transform("ws", lambda w: F.xxhash64(F.rtrim(w, F.lit("es")))).alias("s"))
+
+
+def _keys(runs: DataFrame, word: str) -> tuple[DataFrame, list[Column]]:
+    """`runs` (with i, a place in h), and the keys of the runs of 1 to KEY_WORDS words from there, then that of more words; null
+    beyond the end. The last word of a run may stand in the plural, but not where more words follow. A key has what the run
+    begins with in its upper half: the first two words, but never the last of several."""
+    at = lambda a, n: F.get(a, F.col("i") + (n - 1))
+    key = lambda n, begin, run: F.when(F.col("i") + n <= F.size("h"), F.shiftleft(F.hash(F.lit(n), begin).cast("long"), 32).bitwiseOR(run.bitwiseAND(F.lit(0xFFFFFFFF))))
+    runs = runs.withColumn("p1", at("h", 1))
+    for n in range(2, KEY_WORDS + 1):
+        runs = runs.withColumn(f"p{n}", F.xxhash64(f"p{n - 1}", at("h", n)))
+    longer = [key(n, F.col(f"p{min(n - 1, 2)}"), F.xxhash64(f"p{n - 1}", at("s", n))) for n in range(2, KEY_WORDS + 1)]
+    return runs, [key(1, at("s", 1), at("s", 1)), *longer, key(KEY_WORDS + 1, F.col("p2"), F.col(f"p{KEY_WORDS}"))]
+
+
+def _sign(word: str) -> str:
+    return f"([^{word}\\s\\p{{Z}}])"
+
+
+def with_key(terms: DataFrame, word: str = WORD) -> DataFrame:
+    """`terms` and the key on which each meets texts: all its words (of one with more than KEY_WORDS, the first ones); of a term
+    without any word, its first sign. Filter what isn't SAYING before: a filter by the key computes it again."""
+    runs, keys = _keys(_runs(terms.withColumn("low", F.lower("en")), word).withColumn("i", F.lit(0)), word)
+    sign = F.regexp_extract("low", _sign(word), 1)
+    n = F.least(F.size("h"), F.lit(KEY_WORDS + 1))
+    return runs.select(*terms.columns, F.when(n > 0, F.get(F.array(*keys), n - 1)).when(sign != "", F.xxhash64(sign)).alias("key"))
+
+
+def with_keys(texts: DataFrame, word: str = WORD) -> DataFrame:
+    """`texts` (with a column low) and the keys of terms that each may hold, a row for each. Repeated words repeat their keys."""
+    cols = texts.columns
+    # one row for each word: what is done for columns of rows is compiled, what is done inside arrays isn't
+    runs, keys = _keys(_runs(texts, word).select(*cols, "h", "s", F.posexplode_outer("h").alias("i", "_h")).drop("_h"), word)
+    signs = F.transform(F.array_distinct(F.regexp_extract_all("low", F.lit(_sign(word)), F.lit(1))), lambda x: F.xxhash64(x))
+    found = F.when(F.col("i").isNull(), signs).when(F.col("i") == 0, F.concat(F.array(*keys), signs)).otherwise(F.array(*keys))
+    # explode would compute it all once more, to look for empty arrays
+    return runs.select(*cols, F.explode_outer(found).alias("key")).where("key is not null")
+
+
+def pieces(low: Column, longest: int) -> Column:
+    """The pieces of a text, which overlap so that one of them has all of each place that holds a term of up to `longest`
+    characters. A cut shows as a sign of words, so that no term ends there."""
+    size = max(256, 4 * longest)
+    n = F.length(low)
+    last = F.floor((n - 1) / size).cast("int")
+
+    def piece(k: Column) -> Column:
+        end = (k + 1) * size + longest + 4
+        return F.concat(F.when(k > 0, "_").otherwise(""), F.substring(low, k * size + 1, F.lit(size + longest + 4)), F.when(end < n, "_").otherwise(""))
+
+    return F.when(n <= size, F.array(low)).otherwise(F.transform(F.sequence(F.lit(0), last), piece))
+
+
+def holding(pairs: DataFrame, word: str = WORD) -> DataFrame:
+    """The rows whose text `low` holds the term `en` as whole words or a simple plural."""
+    escaped = F.regexp_replace("en", r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
+    pattern = F.concat(F.lit(f"(?<![{word}])"), escaped, F.lit(f"(e?s)?(?![{word}])"))
+    return pairs.where(F.col("low").contains(F.col("en"))).withColumn("pattern", pattern).where(F.expr("rlike(low, pattern)")).drop("pattern")
+
+
 def match_terms(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame, word: str = WORD, few: int = FEW_TERMS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, and the columns of `terms`): terms that a text holds as whole words or a simple plural, case aside. Neither
     end of a term may touch another character of the class `word`. Any term that isn't blank counts, whatever its characters.
@@ -90,36 +160,11 @@ def match_terms(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame,
     Texts and terms meet on all words of a term (of one with more than KEY_WORDS, on its first ones); the pattern then decides.
     So the pairs tried are about those that match, however many terms begin alike. A term without any word meets the texts that
     hold its first sign."""
-    words = lambda c: F.filter(F.split(F.lower(c), f"[^{word}]+"), lambda x: x != "")
-    joined = lambda at, n: F.concat_ws(" ", F.slice("ws", at, n))
-    sign = f"([^{word}\\s\\p{{Z}}])"
-    # a key has what it begins with in its upper half: the first two words of a run, but never the last of several, which may
-    # stand in the plural
-    key = lambda n, begin, run: F.shiftleft(F.hash(n, begin).cast("long"), 32).bitwiseOR(F.hash(run).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     begin = lambda key: F.shiftright(key, 32)
     cols = terms.columns
-    t = stage(terms.where(F.col("en").rlike(r"[^\s\p{Z}]")), "terms").withColumn("ws", words(F.col("en"))).withColumn("n", F.least(F.size("ws"), F.lit(KEY_WORDS + 1)))
-    t = t.withColumn("run", F.when(F.col("n") == 0, F.regexp_extract(F.lower("en"), sign, 1)).otherwise(joined(1, KEY_WORDS)))
-    t = t.select(*cols, key(F.col("n"), F.when(F.col("n") < 2, F.col("run")).otherwise(joined(1, F.least(F.col("n") - 1, F.lit(2)))), F.col("run")).alias("key"))
+    t = stage(with_key(terms.where(F.col("en").rlike(SAYING)), word), "terms")
     own = texts.select(id_col, F.lower(text_col).alias("low"), *keep).where("low is not null")
-    # r1 to r8: the runs of one to KEY_WORDS words, by the place of their first
-    keys = own.withColumn("r1", words(F.col("low")))
-    for n in range(2, KEY_WORDS + 1):
-        keys = keys.withColumn(f"r{n}", F.array_compact(F.zip_with(f"r{n - 1}", F.slice("r1", n, F.size("r1")), lambda a, b: F.concat(a, F.lit(" "), b))))
-    found = [F.transform(F.regexp_extract_all("low", F.lit(sign), F.lit(1)), lambda x: key(F.lit(0), x, x))]
-    # the last word of a term may stand in the plural, so runs also count without its ending
-    bare = lambda w, end: F.when(w.endswith(end), F.substring(w, F.lit(1), F.length(w) - len(end)))
-
-    def ended(end: str) -> list[Column]:
-        """The keys of the runs with an ending, without it."""
-        ones = F.transform(F.filter("r1", lambda w: w.endswith(end)), lambda w: bind(bare(w, end), lambda x: key(F.lit(1), x, x)))
-        longer = lambda n: F.zip_with(f"r{n}", f"r{min(n - 1, 2)}", lambda w, b: F.when(w.endswith(end), key(F.lit(n), b, bare(w, end))))
-        return [ones, *map(longer, range(2, KEY_WORDS + 1))]
-
-    found += [*ended(""), *ended("s"), *ended("es")]
-    more = F.slice(f"r{KEY_WORDS}", 1, F.greatest(F.size(f"r{KEY_WORDS}") - 1, F.lit(0)))  # those that a further word follows
-    found.append(F.zip_with(more, "r2", lambda w, b: F.when(w.isNotNull(), key(F.lit(KEY_WORDS + 1), b, w))))
-    keys = keys.select(id_col, "low", *keep, F.explode(F.array_distinct(F.array_compact(F.concat(*found)))).alias("key"))
+    keys = with_keys(own, word)
     held = small(t, few)
     if held is not t:
         met = keys.join(held, "key")
@@ -129,10 +174,38 @@ def match_terms(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame,
             keys = keys.join(begun, begin("key") == F.col("begin"), "left_semi")
         met = keys.select(F.col(id_col).alias("_id"), "key").join(t.select(*cols, "key"), "key").select("_id", *cols)
         met = met.join(own, F.col("_id").eqNullSafe(F.col(id_col)))
-    met = met.where(F.col("low").contains(F.col("en")))
-    escaped = F.regexp_replace("en", r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
-    hit = F.expr("rlike(low, pattern)")
-    return met.withColumn("pattern", F.concat(F.lit(f"(?<![{word}])"), escaped, F.lit(f"(e?s)?(?![{word}])"))).where(hit).select(id_col, *cols, *keep).distinct()
+    return holding(met, word).select(id_col, *cols, *keep).distinct()
+
+
+def match_glossary(corpus: DataFrame, texts: DataFrame | None = None, id_col: str = "term_id", text_col: str = "en", cols: tuple[str, ...] = ("zh",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, en, cols..., keep...): as match_terms, of the texts, or else of the glossary's own rows, and en and `cols` of
+    placed_terms.
+
+    Where the terms are too many for a broadcast but their keys aren't, a text moves only with the keys that terms have, and
+    rows of the glossary move once: as what defines a term, and as a text that holds it. One shuffle by key brings all together."""
+    own = texts is None
+    rows = corpus.where(F.col("en").rlike(SAYING)).select(F.col("term_id").alias("_id"), F.lower("en").alias("en"), F.coalesce("zh", F.lit("")).alias("zh"), F.struct(*ORDER).alias("o"))
+    rows = with_key(rows).withColumnsRenamed({"en": "low", "key": "own"})
+    keys = stage(rows.groupBy(F.col("own").alias("key")).agg(F.max(F.length("low")).alias("longest")), "keys")
+    n, longest = keys.agg(F.count("*"), F.max("longest")).first()
+    if n <= FEW_TERMS or n > MANY_KEYS:
+        return match_terms(corpus if own else texts, id_col, text_col, placed_terms(corpus).select("en", *cols), keep=keep)
+    known = F.broadcast(keys.select("key"))
+    if own:
+        defines = lambda c: F.when(F.col("key") == F.col("own"), F.col(c)).alias(c)
+        met = with_keys(rows).join(known, "key", "left_semi").select("key", "_id", "low", defines("zh"), defines("o"), F.lit(True).alias("text"))
+    else:
+        said = texts.select(F.col(id_col).alias("_id"), F.explode(pieces(F.lower(text_col), longest)).alias("low"), *keep)
+        said = with_keys(said).join(known, "key", "left_semi").withColumn("text", F.lit(True))
+        met = said.unionByName(rows.select(F.col("own").alias("key"), "low", "zh", "o", F.lit(False).alias("text")), allowMissingColumns=True)
+    met = met.repartition("key")
+    alike, group = Window.partitionBy("key", "low"), Window.partitionBy("key")
+    met = met.withColumn("last", F.max(F.when(F.col("o").isNotNull(), F.struct("o", "zh"))).over(alike)).withColumn("place", F.min("o").over(alike))
+    values = {"zh": F.col("last.zh"), "place": F.col("place")}
+    term = F.when(F.col("o").isNotNull(), F.struct(F.col("low").alias("en"), *(values[c].alias(c) for c in cols)))
+    met = met.withColumn("terms", F.collect_set(term).over(group)).where("text")
+    met = met.select("key", F.col("_id").alias(id_col), "low", *keep, F.inline("terms"))
+    return holding(met).drop("low").distinct().select(id_col, "en", *cols, *keep)
 
 
 def academic(raw: Column) -> Column:

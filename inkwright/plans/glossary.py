@@ -68,7 +68,7 @@ def gloss_health(spark, sf_dir):
 @CORE.query("gloss_match", f"with {PLACED}, {MET} select distinct term_id, en, zh from m where {BOUND}")
 def gloss_match(spark, sf_dir):
     """Every effective term inside the terms of the glossary's rows, themselves included."""
-    return G.match_terms(table(spark, sf_dir, "corpus", "term_id", "en"), "term_id", "en", G.placed_terms(corpus(spark, sf_dir)).select("en", "zh"))
+    return G.match_glossary(corpus(spark, sf_dir)).select("term_id", "en", "zh")
 
 
 @CORE.query("gloss_match_top", f"""with {PLACED}, {MET}, d as (select distinct term_id, en, place from m where {BOUND})
