@@ -75,7 +75,7 @@ def gloss_match(spark, sf_dir):
 select term_id, en, cast(rank as int) as rank from (select *, row_number() over (partition by term_id order by length(en) desc, place) as rank from d) where rank <= {G.RELEVANT}""")
 def gloss_match_top(spark, sf_dir):
     """The terms of each text for a prompt: the longest, ties by their place in the glossary, as many as a prompt takes."""
-    met = G.match_terms(table(spark, sf_dir, "corpus", "term_id", "en"), "term_id", "en", G.placed_terms(corpus(spark, sf_dir)).select("en", "place"))
+    met = G.match_glossary(corpus(spark, sf_dir), cols=("place",))
     return first_per_key(met, ["term_id"], [F.desc(F.length("en")), F.asc("place")], G.RELEVANT).select("term_id", "en", "rank")
 
 
