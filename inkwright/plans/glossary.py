@@ -83,10 +83,9 @@ def gloss_match_top(spark, sf_dir):
 m as materialized (select rec.record_id, lower(rec.en) as low, rec.zh, x.en, expected from rec join x on contains(lower(rec.en), x.en)) select distinct record_id, en, expected from m where {BOUND} and not contains(zh, expected)""")
 def gloss_audit(spark, sf_dir):
     """Records of every layout whose source holds a term and whose translation lacks the standard form."""
-    r = record_values(table(spark, sf_dir, "term_records", "record_id", "payload"), "record_id")
-    terms = G.placed_terms(corpus(spark, sf_dir)).select("en", strip(F.col("zh")).alias("expected")).where(F.col("expected").rlike(CJK))
-    met = G.match_terms(r, "record_id", "en", terms, keep=("zh",))
-    return met.where(~F.col("zh").contains(F.col("expected"))).select("record_id", "en", "expected")
+    r = record_values(table(spark, sf_dir, "term_records", "record_id", "payload"), "record_id").withColumnRenamed("zh", "said")
+    met = G.match_glossary(corpus(spark, sf_dir), r, "record_id", keep=("said",)).withColumn("expected", strip(F.col("zh"))).where(F.col("expected").rlike(CJK))
+    return met.where(~F.col("said").contains(F.col("expected"))).select("record_id", "en", "expected")
 
 
 # the same candidates in an engine that can't look around: each run of word characters gets a mark at both ends, and the forms ask

@@ -22,7 +22,7 @@ def moved_rows(plan):
 
 
 # rows of the glossary and the records once, and what is ranked once more; a record has its term in the plural
-@pytest.mark.parametrize("name, most", [("gloss_match", 450), ("gloss_match_top", 800)])
+@pytest.mark.parametrize("name, most", [("gloss_match", 450), ("gloss_match_top", 800), ("gloss_audit", 750), ("gloss_audit_top", 900)])
 def test_rows_move_about_once(spark, tmp_path, monkeypatch, name, most):
     monkeypatch.setattr(G, "FEW_TERMS", 0)
     monkeypatch.setattr(G, "small", lambda df, *_: df)
