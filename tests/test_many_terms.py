@@ -21,9 +21,17 @@ def moved_rows(plan):
     return own + sum(moved_rows(plan.children().apply(i)) for i in range(plan.children().size()))
 
 
+@pytest.fixture
+def unhinted(spark):
+    """No table is broadcast for being small by itself."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # rows of the glossary and the records once, and what is ranked once more; a record has its term in the plural
 @pytest.mark.parametrize("name, most", [("gloss_match", 450), ("gloss_match_top", 800), ("gloss_audit", 750), ("gloss_audit_top", 900)])
-def test_rows_move_about_once(spark, tmp_path, monkeypatch, name, most):
+def test_rows_move_about_once(spark, unhinted, tmp_path, monkeypatch, name, most):
     monkeypatch.setattr(G, "FEW_TERMS", 0)
     monkeypatch.setattr(G, "small", lambda df, *_: df)
     put(spark, tmp_path, "corpus", [(k, "f", 0, "cs", 0, k, f"Meta-Amber t{k} Loss", f"词{k}号") for k in range(300)], CORPUS)
